@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import lookalike, pieces
 from corpusloom.llm.spans import SharedSpans
 from corpusloom.plans.shared import table
 
 
+def p3_pieces(spark, folder):
+    return pieces.pieces(*(table(spark, folder, t) for t in ("chunks", "docs", "split_limits")))
+
+
+def p3_found(spark, folder):
+    return p3_pieces(spark, folder).where("pieces > 1").select("chunk_id").distinct()
+
+
+def _values(spark, folder):
+    return lookalike.values(table(spark, folder, "serp_results"), table(spark, folder, "chunks"))
+
+
+def p6_found(spark, folder):
+    return lookalike.pairs(_values(spark, folder))
+
+
+def p6_unified(spark, folder):
+    return lookalike.unified(_values(spark, folder))
+
+
 def p10_found(spark, folder):
     return SharedSpans(table(spark, folder, "documents")).pairs()
 
