@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import lookalike, pieces
+from corpusloom.llm import leaks, lookalike, pieces
+from corpusloom.llm.mixing import Mixture
+from corpusloom.llm.sitelines import SiteLines
 from corpusloom.llm.spans import SharedSpans
 from corpusloom.plans.shared import table
 
 
+def _site_lines(spark, folder):
+    return SiteLines(table(spark, folder, "chunks"), table(spark, folder, "docs"))
+
+
+def p1_found(spark, folder):
+    return _site_lines(spark, folder).found()
+
+
+def p1_blocks(spark, folder):
+    return _site_lines(spark, folder).blocks()
+
+
+def p1_clean(spark, folder):
+    return _site_lines(spark, folder).clean(table(spark, folder, "chunks"))
+
+
 def p3_pieces(spark, folder):
     return pieces.pieces(*(table(spark, folder, t) for t in ("chunks", "docs", "split_limits")))
 
@@ -27,6 +45,30 @@ def p6_unified(spark, folder):
     return lookalike.unified(_values(spark, folder))
 
 
+def p8_found(spark, folder):
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_by_item(spark, folder):
+    return leaks.by_item(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def _mixture(spark, folder):
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_found(spark, folder):
+    return _mixture(spark, folder).report().where("short").select("source")
+
+
+def p9_shares(spark, folder):
+    return _mixture(spark, folder).report()
+
+
+def p9_selection(spark, folder):
+    return _mixture(spark, folder).selection()
+
+
 def p10_found(spark, folder):
     return SharedSpans(table(spark, folder, "documents")).pairs()
 
