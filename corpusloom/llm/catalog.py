@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import leaks, lookalike, pieces
+from corpusloom.llm import history, leaks, lookalike, pieces
 from corpusloom.llm.mixing import Mixture
 from corpusloom.llm.sitelines import SiteLines
 from corpusloom.llm.spans import SharedSpans
@@ -25,6 +25,22 @@ def p1_clean(spark, folder):
     return _site_lines(spark, folder).clean(table(spark, folder, "chunks"))
 
 
+def _history(spark, folder):
+    return history.History(table(spark, folder, "docs"), table(spark, folder, "chunks"))
+
+
+def p2_found(spark, folder):
+    return history.pairs(_history(spark, folder).rejected())
+
+
+def p2_rejected(spark, folder):
+    return _history(spark, folder).rejected()
+
+
+def p2_accepted(spark, folder):
+    return history.accepted(table(spark, folder, "docs"), _history(spark, folder).rejected())
+
+
 def p3_pieces(spark, folder):
     return pieces.pieces(*(table(spark, folder, t) for t in ("chunks", "docs", "split_limits")))
 
