@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import history, leaks, lookalike, pieces
+from corpusloom.llm import history, leaks, lookalike, neighbours, pieces
 from corpusloom.llm.mixing import Mixture
 from corpusloom.llm.sitelines import SiteLines
 from corpusloom.llm.spans import SharedSpans
@@ -49,6 +49,23 @@ def p3_found(spark, folder):
     return p3_pieces(spark, folder).where("pieces > 1").select("chunk_id").distinct()
 
 
+def p5_found(spark, folder):
+    return neighbours.VectorIndex(table(spark, folder, "vectors")).mutual()
+
+
+def p5_neighbours(spark, folder):
+    return neighbours.VectorIndex(table(spark, folder, "vectors")).neighbours()
+
+
+def p5_search(spark, folder):
+    v = table(spark, folder, "vectors")
+    return neighbours.search(v.where("chunk_id % 20 = 0"), v)
+
+
+def p5_recall(spark, folder):
+    return neighbours.recall(table(spark, folder, "vectors"))
+
+
 def _values(spark, folder):
     return lookalike.values(table(spark, folder, "serp_results"), table(spark, folder, "chunks"))
 
