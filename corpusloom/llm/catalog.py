@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm import history, leaks, lookalike, neighbours, pieces
+from corpusloom.llm.furniture import Furniture
 from corpusloom.llm.mixing import Mixture
 from corpusloom.llm.sitelines import SiteLines
 from corpusloom.llm.spans import SharedSpans
@@ -78,6 +79,14 @@ def p6_unified(spark, folder):
     return lookalike.unified(_values(spark, folder))
 
 
+def p7_found(spark, folder):
+    return Furniture(table(spark, folder, "chunks"), table(spark, folder, "docs")).found()
+
+
+def p7_clean(spark, folder):
+    return Furniture(table(spark, folder, "chunks"), table(spark, folder, "docs")).clean()
+
+
 def p8_found(spark, folder):
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
