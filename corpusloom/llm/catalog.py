@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import history, leaks, lookalike, neighbours, pieces
+from corpusloom.llm import history, leaks, lookalike, neighbours, pieces, residue
 from corpusloom.llm.furniture import Furniture
 from corpusloom.llm.mixing import Mixture
 from corpusloom.llm.sitelines import SiteLines
@@ -50,6 +50,18 @@ def p3_found(spark, folder):
     return p3_pieces(spark, folder).where("pieces > 1").select("chunk_id").distinct()
 
 
+def _residue(spark, folder):
+    return residue.Residue(residue.values(table(spark, folder, "docs"), table(spark, folder, "chunks")))
+
+
+def p4_found(spark, folder):
+    return _residue(spark, folder).found()
+
+
+def p4_clean(spark, folder):
+    return _residue(spark, folder).clean()
+
+
 def p5_found(spark, folder):
     return neighbours.VectorIndex(table(spark, folder, "vectors")).mutual()
 
