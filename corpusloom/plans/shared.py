@@ -32,5 +32,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+LARGE = ("chunks", "documents", "docs", "vectors", "serp_results")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the folder. One that its few files would leave to fewer tasks than there are cores is spread first."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores // 2 else df
