@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import history, leaks, lookalike, neighbours, pieces, residue
+from corpusloom.llm import history, leaks, lookalike, neighbours, oracle, pieces, residue
 from corpusloom.llm.furniture import Furniture
 from corpusloom.llm.mixing import Mixture
 from corpusloom.llm.sitelines import SiteLines
@@ -141,4 +141,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
