@@ -27,7 +27,7 @@ from corpusloom.llm.stream import map_batches
 from corpusloom.plans.shared import materialize
 
 REFERENCES, SHARD_PAGES = 8, 1000
-MIN_HOSTS, MIN_PAGES, MIN_SHARE, COPY = 0.02, 3, 0.3, 0.3
+MIN_HOSTS, MIN_PAGES, MIN_SHARE, COPY = 0.008, 3, 0.3, 0.3
 _DIGITS = re.compile(r"\d+")
 _LINK = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)")
 _LINKS = re.compile(r"(?:\[[^\]\n]*\]\([^)\s]*\)[\s|·•/,-]*){2,}")
