@@ -112,7 +112,7 @@ def _mixture(spark, folder):
 
 
 def p9_found(spark, folder):
-    return _mixture(spark, folder).report().where("short").select("source")
+    return _mixture(spark, folder).short()
 
 
 def p9_shares(spark, folder):

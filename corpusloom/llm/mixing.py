@@ -172,3 +172,10 @@ class Mixture:
             F.when(F.col("tokens") > 0, F.col("delivered") / F.col("tokens")).otherwise(0.0).alias("repeats"),
             (F.col("tokens") * F.col("max_repeats") < F.col("whole") * F.col("target_share")).alias("short"),
         )
+
+    def short(self) -> DataFrame:
+        """(source) of the targets that the mixture leaves unmet for want of supply.
+
+        What was delivered falls short of the demand in each of them; of the sources where it does, the exact check drops
+        those whose draw only came out low."""
+        return self.report().where("delivered < demand AND short").select("source")
