@@ -82,8 +82,7 @@ def enriched(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """hits with text and provenance; a hit without chunk or document is dropped."""
     at = chunks.select("chunk_id", "doc_id", "text").dropDuplicates(["chunk_id"])
     of = docs.select("doc_id", "url", "title", "doc_type", "fetched_at", "sha256").dropDuplicates(["doc_id"])
-    few = hits.hint("broadcast")  # at most 2*CANDIDATES rows
-    return few.join(at, "chunk_id").hint("broadcast").join(of, "doc_id").select(*HIT, *(c for c in hits.columns if c != "chunk_id"))
+    return hits.join(at, "chunk_id").join(of, "doc_id").select(*HIT, *(c for c in hits.columns if c != "chunk_id"))
 
 
 def nearest_model(vectors: DataFrame, model: str) -> DataFrame:

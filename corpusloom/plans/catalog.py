@@ -118,7 +118,7 @@ def cascade_delete(spark, folder):
 
 def vector_upsert(spark, folder):
     v = table(spark, folder, "vectors").distinct()
-    new = v.where("chunk_id % 3 = 0").select("chunk_id", F.lit("second").alias("model"), "dim", "vec")
+    new = v.where(F.col("model") != MODEL).select("chunk_id", F.lit("second").alias("model"), "dim", "vec")
     return corpus.replaced(v, new, "chunk_id").groupBy("model").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_chunks"))
 
 

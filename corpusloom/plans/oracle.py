@@ -104,7 +104,7 @@ def statements() -> dict[str, str]:
         "upsert_snapshot": f"{halves} SELECT url, CASE WHEN same THEN a ELSE b END AS sha256, title, etag, CASE WHEN same THEN x ELSE y END AS doc_type FROM (SELECT coalesce(new.url, old.url) AS url, old.sha256 AS a, new.sha256 AS b, CASE WHEN new.url IS NULL THEN old.title ELSE new.title END AS title, CASE WHEN new.url IS NULL THEN old.etag ELSE new.etag END AS etag, old.doc_type AS x, new.doc_type AS y, old.url IS NOT NULL AND (new.url IS NULL OR old.sha256 IS NOT DISTINCT FROM new.sha256) AS same FROM old FULL JOIN new ON old.url = new.url)",
         "upsert_changes": f"{halves} SELECT {status} AS status, count(*) AS n FROM new LEFT JOIN old ON old.url = new.url GROUP BY 1",
         "cascade_delete": f"WITH {DOCS}, {CHUNKS}, v AS (SELECT DISTINCT * FROM vectors), gone AS (SELECT doc_id FROM d WHERE extraction = 'pdf'), dead AS (SELECT chunk_id FROM c WHERE doc_id IN (SELECT doc_id FROM gone)) SELECT (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM gone)) AS docs, (SELECT count(*) FROM c WHERE doc_id NOT IN (SELECT doc_id FROM gone)) AS chunks, (SELECT count(*) FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM dead)) AS vectors",
-        "vector_upsert": "SELECT model, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM (SELECT chunk_id, CASE WHEN chunk_id % 3 = 0 THEN 'second' ELSE model END AS model FROM (SELECT DISTINCT * FROM vectors)) GROUP BY model",
+        "vector_upsert": f"WITH v AS (SELECT DISTINCT * FROM vectors), new AS (SELECT chunk_id, 'second' AS model FROM v WHERE model <> '{q.MODEL}'), u AS (SELECT chunk_id, model FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM new) UNION ALL SELECT * FROM new) SELECT model, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks FROM u GROUP BY model",
         "document_assembled": f"WITH {CHUNKS} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY seq, text)) AS sha256, count(*) AS n_chunks FROM c GROUP BY doc_id",
         "chunk_split": _chunk_split(),
         "token_freq": f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY term",
