@@ -90,7 +90,7 @@ class Mixture:
         share, repeats = F.coalesce(F.col("target_share"), F.lit(0.0)), F.coalesce(F.col("max_repeats"), F.lit(1))
         self.targets = targets.select(name.alias("source"), share.alias("share"), repeats.alias("repeats")).where("source IS NOT NULL").groupBy("source").agg(F.max("share").alias("target_share"), F.max("repeats").alias("max_repeats"))
         own = self.sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
-        # one row for each source there is: both sums come from one small aggregate
+        # targets are settings, a few rows; what is broadcast below is theirs, or a single row
         whole = F.lit(total).cast("long") if total is not None else F.col("all_tokens")
         every = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("all_tokens"))
         plan = self.targets.join(own, "source", "left").crossJoin(F.broadcast(every)).withColumn("whole", whole)
