@@ -45,9 +45,9 @@ def _hash(s: str) -> int:
 def tokens(line: str, names: set[str]) -> list[str]:
     """The line's label, word by word: lower case, digits as 0, the host's own names as a slot."""
     out = []
-    for w in _DIGITS.sub("0", line.lower()).split():
+    for w in line.lower().split():
         core = w.strip(".,;:!?()[]«»“”\"'’")
-        out.append(w.replace(core, "{}") if core in names else w)
+        out.append(_DIGITS.sub("0", w.replace(core, "{}") if core in names else w))
     return out
 
 
