@@ -9,6 +9,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.plans.shared import materialize
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 CANDIDATES, RRF_K, RESULTS = 50, 60, 8
 HIT = ["chunk_id", "doc_id", "text", "url", "title", "doc_type", "fetched_at", "sha256"]
@@ -25,6 +27,21 @@ def corpus_size(chunks: DataFrame, words: Column) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(words), F.lit(0))).alias("avgdl"))
 
 
+def scanned(chunks: DataFrame, words: Column, terms: list[str], key: str = "chunk_id") -> DataFrame:
+    """(key, dl, hits) of each text in one pass: its number of words, and those of them that a query has.
+
+    For texts without an index yet. Rows of equal keys count once; texts don't move."""
+    w = chunks.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
+    rows = w.select(key, F.size("_w").alias("dl"), F.filter("_w", lambda x: x.isin(*terms)).alias("hits"))
+    return materialize(rows.dropDuplicates([key]), "scan")
+
+
+def scanned_top(scan: DataFrame, terms: list[str], limit: int = CANDIDATES, key: str = "chunk_id") -> DataFrame:
+    """keyword_top over a scan."""
+    index = scan.select(key, "dl", F.explode("hits").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return keyword_top(index, scan.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), terms, limit, key)
+
+
 def bm25(index: DataFrame, size: DataFrame, terms: list[str], key: str = "chunk_id") -> DataFrame:
     """(key, bm25) of every text with a term; a term given twice counts twice."""
     if not terms:

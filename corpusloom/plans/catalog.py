@@ -142,8 +142,8 @@ def token_freq(spark, folder):
 
 
 def _keyword(spark, folder):
-    chunks, w = _chunks(spark, folder), tokens.words(F.col("text"))
-    return retrieval.keyword_top(retrieval.postings(chunks, w), retrieval.corpus_size(chunks, w), TERMS)
+    scan = retrieval.scanned(table(spark, folder, "chunks"), tokens.words(F.col("text")), TERMS)
+    return retrieval.scanned_top(scan, TERMS)
 
 
 def bm25_topk(spark, folder):
@@ -151,9 +151,9 @@ def bm25_topk(spark, folder):
 
 
 def keyword_stemmed(spark, folder):
-    chunks, w = _chunks(spark, folder), tokens.stemmed(F.col("text"))
     q = [s for x in tokens.query_words("crawlers normalizing archived rankers") for s in tokens.stems(x)]
-    return retrieval.keyword_top(retrieval.postings(chunks, w), retrieval.corpus_size(chunks, w), q).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    scan = retrieval.scanned(table(spark, folder, "chunks"), tokens.stemmed(F.col("text")), q)
+    return retrieval.scanned_top(scan, q).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _vector(spark, folder):

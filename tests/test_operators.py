@@ -104,6 +104,8 @@ def test_bm25_matches_fts5(spark):
     q = [s for x in ("crawlers", "page", "page", "généralités") for s in tokens.stems(x)]
     got = {r.chunk_id: r.bm25 for r in retrieval.bm25(retrieval.postings(chunks, w), retrieval.corpus_size(chunks, w), q).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+    scan = retrieval.scanned(chunks.unionByName(chunks), w, q)
+    assert {r.chunk_id: r.bm25 for r in retrieval.scanned_top(scan, q).collect()} == pytest.approx(want, rel=1e-9)
 
 
 def test_cosine_edges(spark):
