@@ -44,6 +44,23 @@ UNSET_TEXT = re.compile(
 )
 # Words of sentences; filler of pseudo-Latin has none of them.
 COMMON = frozenset("the and of in for how why is are was that which with as to by an a und der die das ist mit für im le la les des une un est pour que dans y el los las en con una para por explained".split())
+# The vocabulary of filler: the passage that is always copied, words of generators, and made-up words in their manner.
+LATIN = frozenset(
+    """lorem ipsum dolor dolore dolores doloris sit amet consectetur consectetuer adipiscing adipisicing elit sed eiusmod tempor tempus incididunt ut labore laborum et magna aliqua aliquam enim ad minim
+    veniam quis nostrud exercitation ullamco laboris nisi nisl aliquip ex ea commodo consequat duis dui aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla nullam pariatur excepteur sint
+    occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est a ac at ante arcu augue auctor bibendum blandit condimentum congue convallis cras cubilia curabitur curae cursus dapibus
+    diam dictum dictumst dignissim donec egestas eget eleifend elementum erat eros etiam euismod facilisi facilisis fames faucibus felis fermentum feugiat fringilla fusce gravida habitant habitasse hac
+    hendrerit iaculis imperdiet integer interdum justo lacinia lacus laoreet lectus leo libero ligula lobortis luctus maecenas malesuada massa mattis mauris metus mi molestie mollis morbi nam nec neque netus
+    nibh nunc odio orci ornare pellentesque pharetra phasellus placerat platea porta porttitor posuere potenti praesent pretium primis proin pulvinar purus quam quisque rhoncus risus rutrum sagittis sapien
+    scelerisque sem semper senectus sociis sodales sollicitudin suscipit suspendisse taciti tellus tincidunt tortor tristique turpis ultrices ultricies urna varius vehicula vel venenatis vestibulum vitae
+    vivamus viverra volutpat vulputate lectum nibhum tantor tortis glavus fermis velum ornate ultra sedat""".split()
+)
+_ENDINGS = ("um", "us", "is", "ae", "am", "em", "it", "at", "et", "or", "ur", "nt", "os", "que")
+PROSE = (COMMON | frozenset("that this it its be been has have had not or no you your we our they their from can will but about into once when where what then than every each l d qu il elle ce cette ces du au aux sur avec par sont ne pas se son sa ses ein eine einer einem einen den dem des zu auf nicht auch sich wird werden wie bei oder aus del al que por su sus se no es son como más o lo".split())) - LATIN
+_LONG_LATIN = tuple(sorted(w for w in LATIN if len(w) >= 5))
+_THREE = re.compile(r"[\W\d_]*([^\W\d_]+)[\W\d_]+([^\W\d_]+)[\W\d_]+([^\W\d_]+)")
+_SENTENCE = re.compile(r"(?<=[.!?:])\s+")
+_QUOTED_RUN = re.compile(r"(`+)[^`]*\1|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"")
 
 _CODE = r"(?:4\d\d|5\d\d)"
 _STATUS = r"(?:page not found|not found|bad gateway|forbidden|unauthorized|internal (?:server )?error|(?:service|server) (?:temporarily )?unavailable|gateway time-?out|bad request|gone|too many requests|method not allowed|access denied|server error|page introuvable|introuvable|du serveur|accès refusé|interdit|(?:die )?seite (?:wurde )?nicht gefunden|nicht gefunden|serverfehler|zugriff verweigert|(?:no se encontró la )?página(?: no encontrada)?|no encontrad[oa]|del servidor|acceso denegado)"
@@ -115,45 +132,70 @@ _CUES = (
     "|oops|whoops|ups|oups|vaya|went wrong|error has|error occurred|error happened|est survenue|est produite|aufgetreten|schiefgelaufen|salió mal|se ha producido|se produjo|ha ocurrido|not connect|unable to connect|a connection|database connection|connection refused|connection timed|connection reset|connection closed|database error|sqlstate|try again|segmentation|panic: |uncaught|unhandled|exception in|adresse demandée|angeforderte|solicitada|bad gateway|forbidden|unauthorized|error"
     "|fehler|erreur|http|status|código|javascript|java script|scripts|skripte|script |scripting|your browser|just a |verify|verifying|confirm|navigateur|ihr browser|navegador"
     "|sample |dummy|placeholder|filler|example text|example copy| here|coming soon|copy to be|replace this|texte fictif|d’exemple|d'exemple|factice|provisoire|ce texte| ici|blindtext|platzhalter|beispieltext|mustertext|hier steht|hier kommt| hier|aquí|de ejemplo|de muestra|de relleno|de prueba|provisional|ficticio|este texto|todo|tbd|to be written|to be done|fixme"
-).split("|")
+)
+_CUES = tuple(_CUES.split("|"))
 _STARTS_WITH_CODE = re.compile(r"\W{0,3}[45]\d\d\b")
 _MARKS = ("{", "<%", "%%", "%(", "%!", "__", "@@", "*|", "$(", "[[", "PLACEHOLDER", "goes here", "[INSERT", "[TODO", "[ENTER", "[YOUR", "[ADD", "[REPLACE", "<YOUR", "<INSERT", "<ENTER", "[object ")
 
 
 @functools.cache
-def _cues() -> ahocorasick.Automaton:
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for w in _CUES:
+    for w in words:
         a.add_word(w, w)
     a.make_automaton()
     return a
 
 
-def _cued(low: list[str]) -> set[int]:
-    """Numbers of the short lines that hold a cue."""
-    short = [i for i, x in enumerate(low) if 0 < len(x) <= 240]
-    out = {i for i in short if _STARTS_WITH_CODE.match(low[i])}
-    ends, at = [], 0
-    for i in short:
+def _holding(words: tuple[str, ...], low: list[str], among: list[int]) -> set[int]:
+    """Numbers of the lines, of those in `among`, that hold one of the words."""
+    ends, at, out = [], 0, set()
+    for i in among:
         at += len(low[i]) + 1
         ends.append(at)
-    for end, _ in _cues().iter("\n".join([low[i] for i in short])):
-        out.add(short[bisect.bisect_right(ends, end)])
+    for end, _ in _automaton(words).iter("\n".join([low[i] for i in among])):
+        out.add(among[bisect.bisect_right(ends, end)])
     return out
 
 
-def _filler_words(line: str) -> bool:
-    """Pseudo-Latin that starts as such, or a word or two over and over."""
-    head = line[:80].split(None, 3)[:3]
-    first = head[0].lower() if head else ""
-    if len(set(head)) == len(head) and not first.startswith(("lorem", "ipsum")):
+def _cued(low: list[str]) -> set[int]:
+    """Numbers of the short lines that hold a cue."""
+    short = [i for i, x in enumerate(low) if 0 < len(x) <= 240]
+    return {i for i in short if _STARTS_WITH_CODE.match(low[i])} | _holding(_CUES, low, short)
+
+
+def _filler_cued(low: list[str]) -> set[int]:
+    """Numbers of the lines that may be filler: they hold a long word of its vocabulary, or repeat one of their first three words."""
+    some = [i for i, x in enumerate(low) if x]
+    return {i for i in some if (m := _THREE.match(low[i])) and len(set(m.groups())) < 3} | _holding(_LONG_LATIN, low, some)
+
+
+def _pseudo_latin(words: list[str]) -> bool:
+    """At least four words, no function word of a language, a quarter of the filler's vocabulary, among it a word of five letters, two thirds of a Latin look."""
+    if len(words) < 4:
         return False
+    known = [w for w in words if w in LATIN]
+    if len(set(known)) < 2 or max(map(len, known)) < 5 or len(known) * 4 < len(words) or not PROSE.isdisjoint(words):
+        return False
+    return sum(w in LATIN or w.endswith(_ENDINGS) for w in words) * 3 >= len(words) * 2
+
+
+def _filler_words(line: str) -> bool:
+    """Pseudo-Latin as the line or one of its sentences, or a word or two over and over. All words of the line count."""
     words = _WORDS.findall(line.lower())
-    if len(words) >= 4 and len(set(words)) <= 2 and len(words) * 3 <= len(line):
+    if len(words) < 2:
+        return False
+    kinds = set(words)
+    if len(words) >= 4 and len(kinds) <= 2 and len(words) * 3 <= len(line):
+        return True
+    # whatever is pseudo-Latin has two words of the vocabulary
+    if len(kinds & LATIN) < 2 and words[0] not in ("lorem", "ipsum"):
+        return False
+    first = line.split(None, 1)[0].lower()
+    if first.startswith(("lorem", "ipsum")) and words[0] in ("lorem", "ipsum") and (words[1] in ("ipsum", "dolor", "lorem") and words[2:3] in ([], ["dolor"], ["sit"]) or not COMMON & kinds):
         return True
-    if words[:1] in (["lorem"], ["ipsum"]) and len(words) >= 2:
-        return words[1] in ("ipsum", "dolor", "lorem") and words[2:3] in ([], ["dolor"], ["sit"]) or not COMMON & set(words)
-    return False
+    own = _QUOTED_RUN.sub(" ", line).lower()
+    return _pseudo_latin(_WORDS.findall(own)) or any(_pseudo_latin(_WORDS.findall(x)) for x in _SENTENCE.split(own))
 
 
 def _quoted(line: str, m: re.Match) -> bool:
@@ -201,11 +243,12 @@ def label(field: str, value: str | None) -> tuple[bool, bool]:
     bad = size = 0
     held = False
     lines = [x.strip() for x in prose(value)]
-    cued = _cued([x.lower() for x in lines])
+    low = [x.lower() for x in lines]
+    cued, filler = _cued(low), _filler_cued(low)
     marked, unset = any(m in value for m in _MARKS), any(m in value for m in ("undefined", "null", "NaN", "None", "nil"))
     for i, s in enumerate(lines):
         size += len(s)
-        if i in cued and _message(s) or s and _filler_words(s):
+        if i in cued and _message(s) or i in filler and _filler_words(s):
             bad += len(s)
         elif marked and _placeholder(s) or unset and UNSET_TEXT.search(s):
             held = True

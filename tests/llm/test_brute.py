@@ -166,6 +166,19 @@ def test_p4_labels(field, value, held):
     assert residue.label(field, value)[0] is held
 
 
+@pytest.mark.parametrize(
+    "line,held",
+    [
+        ("Quisque nunc lectum augue tantor morbi lorem varius glavus sedat nibhum ipsum varius nunc ornate.", True), ("Semper fermis nunc porta ultra dolor semper nunc nibhum varius glavus semper augue dolor.", True),
+        ("Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.", True), ("Blah, blah blah! Blah blah.", True),
+        ("The shop opens soon. Vestibulum ante ipsum primis in faucibus orci luctus et ultrices.", True), ("Draft layouts of Morugu once held lorem ipsum in every box, which the ranker then indexed.", False),
+        ("The sentence “Quisque nunc lorem ipsum varius dolor semper” is filler.", False), ("Write `quisque nunc lorem ipsum varius dolor semper` there.", False), ("El dolor nunca varía, y el ritmo tampoco.", False), ("Quercus robur, Pinus nigra, Acer campestre, Fagus sylvatica", False),
+    ],
+)
+def test_p4_filler_anywhere(line, held):
+    assert residue.label("text", "A sentence of the article stands here.\n" + line + "\nAnother one follows it.")[0] is held
+
+
 def test_p4_spreads_to_near_duplicates(spark):
     body = "Could not connect to the database server at alpha.\n" + "\n".join(f"Could not connect to the database server at beta{i} for reason {i} today." for i in range(30))
     near = "\n".join(f"Cannot reach the store at beta{i} because of some cause {i} now and then, says the log." for i in range(40))
