@@ -4,10 +4,11 @@ Trusted labels come from rules over single lines: placeholders left in running t
 stock titles, messages of servers and programs, notices that scripts are needed. Code spans, fenced blocks and quoted
 placeholders explain such things and are passed over, as is prose about them, which is longer than a message.
 
-Rows that are residue as a whole lend their label to near-duplicates: word shingles give each text a 64-bit SimHash,
-which is cut into BLOCKS blocks; tables over each pair of blocks find all codes at most FAR bits apart (pigeonhole);
-Hamming distance and shingle similarity are checked; labels then spread from row to row through the connected components
-until none is new. A row that only holds a placeholder in its text lends nothing, as its near-duplicates may be whole.
+Rows that are residue as a whole lend their label to near-duplicates, whose sets of five-word shingles are SIMILAR or more. Two such
+sets of hashes, sorted, share one of their first elements (prefix filter: of n shingles the least n - ceil(SIMILAR n) + 1), so a join
+by these finds every pair. The set whose prefix ends first shares with the other just what the prefixes share and at most all
+that follows; pairs for which that is too little are dropped, the others' shingles compared; labels then spread from row to row through the connected
+components until none is new. A row that only holds a placeholder in its text lends nothing, as its near-duplicates may be whole.
 
 Null and empty values are no cases. Equal duplicate rows count once. Whole texts are read, whatever their length.
 """
@@ -28,7 +29,7 @@ from corpusloom.llm import kernel as K
 from corpusloom.llm.stream import map_batches
 from corpusloom.plans.shared import materialize
 
-RUN, SIMILAR, BLOCKS, FAR = 5, 0.8, 5, 3
+RUN, SIMILAR = 5, 0.8
 _ID = r"[A-Za-z][\w.\-]*"
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{1,80}%\}|<%[^<>\n]{1,80}%>|[$#]\{[^{}\n]{1,60}\}|\{\$[^{}\n]{1,60}\}|%\([A-Za-z_]\w*\)[sdif]"
@@ -255,51 +256,38 @@ def label(field: str, value: str | None) -> tuple[bool, bool]:
     return bool(bad or held), bad * 2 > size
 
 
-def simhash(shingles: np.ndarray) -> int:
-    """The sign of each bit's sum over the shingles' hashes."""
-    if not len(shingles):
-        return 0
-    ones = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(K.signed(np.packbits(ones * 2 > len(shingles), bitorder="little").view(K.U))[0])
-
-
 def _shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(K.grams(words, min(RUN, len(words)))) if len(words) else np.zeros(0, K.U)
 
 
+def _prefix(shingles: np.ndarray) -> np.ndarray:
+    """The least hashes, of which sets that are SIMILAR share one."""
+    return shingles[: len(shingles) - int(np.ceil(SIMILAR * len(shingles) - 1e-9)) + 1]
+
+
 def _scan(b: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {k: [] for k in ("field", "row_id", "cls", "code", "held", "whole")}
+    out: dict[str, list] = {k: [] for k in ("field", "row_id", "cls", "size", "prefix", "held", "whole")}
     fields, ids, texts = b["field"].to_pylist(), b["row_id"].to_pylist(), b["value"].to_pylist()
     for i, j in K.batches(texts):
         w, bounds = K.words(texts[i:j])
         for t in range(i, j):
             own = w[bounds[t - i] : bounds[t - i + 1]]
             cls = int(K.signed(K.RunHash(own)(np.array([0]), np.array([len(own)])))[0]) if len(own) else 0
-            row = (fields[t], ids[t], cls, simhash(_shingles(own)), *label(fields[t], texts[t]))
+            shingles = _shingles(own)
+            row = (fields[t], ids[t], cls, len(shingles), K.signed(_prefix(shingles)).tolist(), *label(fields[t], texts[t]))
             for name, v in zip(out, row):
                 out[name].append(v)
     return out
 
 
-def _tables() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(BLOCKS) for j in range(i + 1, BLOCKS)]
-
-
-def _keys(code: str):
-    """One key for each pair of blocks: codes FAR bits apart differ in at most FAR blocks, so two blocks agree."""
-    width = -(-64 // BLOCKS)
-    block = lambda i: F.shiftrightunsigned(code, i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1))
-    return F.explode(F.array(*(F.xxhash64(F.lit(n), "field", block(i), block(j)) for n, (i, j) in enumerate(_tables()))))
-
-
 class Residue:
     """Rows (field, row_id, value) that hold residue."""
 
     def __init__(self, values: DataFrame):
         self.values = values.select("field", F.col("row_id").cast("long").alias("row_id"), F.col("value").cast("string").alias("value")).where("row_id IS NOT NULL AND value IS NOT NULL AND value <> ''")
-        self.rows = materialize(map_batches(self.values, _scan, "field string, row_id long, cls long, code long, held boolean, whole boolean"), "rows")
+        self.rows = materialize(map_batches(self.values, _scan, "field string, row_id long, cls long, size int, prefix array<long>, held boolean, whole boolean"), "rows")
         # texts of equal words are one class; a label on one of them that is residue as a whole holds for all
-        self.classes = self.rows.where("cls <> 0").groupBy("field", "cls").agg(F.first("code").alias("code"), F.max("held").alias("held"), F.max("whole").alias("whole"), F.min("row_id").alias("row_id"))
+        self.classes = self.rows.where("cls <> 0").groupBy("field", "cls").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.max("held").alias("held"), F.max("whole").alias("whole"), F.min("row_id").alias("row_id"))
 
     def _similar(self, pairs: DataFrame) -> DataFrame:
         """Pairs (field, row_a, row_b, ...) whose texts share enough five-word shingles."""
@@ -316,23 +304,25 @@ class Residue:
     def spread(self) -> DataFrame:
         """(field, cls) of the classes that a label reaches through near-duplicates, with those that lend it."""
         c = materialize(self.classes, "classes")
-        clean = c.where("NOT held").select("field", F.col("cls").alias("cls_b"), F.col("code").alias("code_b"), F.col("row_id").alias("row_b"))
-        open_ = materialize(clean.withColumn("key", _keys("code_b")), "tables")
+        keys = lambda df, *cols: df.withColumn(cols[-1], F.col("cls")).withColumn("key", F.explode("prefix")).select(*cols, F.xxhash64("field", "key").alias("key"))
+        open_ = keys(c.where("NOT held"), "cls_b")
+        side = lambda s: c.select("field", *(F.col(x).alias(f"{x}_{s}") for x in ("cls", "size", "row_id")), F.size("prefix").alias(f"first_{s}"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))).alias(f"end_{s}"))
+        union = (F.col("size_a") + F.col("size_b")) / (1 + SIMILAR)
+        rest = F.when(F.col("end_a") <= F.col("end_b"), F.col("size_a") - F.col("first_a")).otherwise(F.col("size_b") - F.col("first_b"))
         reached = c.where("whole").select("field", "cls")
-        # lenders of one code are alike: one of them stands for all
-        front = c.where("whole").groupBy("field", "code").agg(F.min("row_id").alias("row_a"))
+        front = c.where("whole")
         while True:
-            near = front.withColumnRenamed("code", "code_a").withColumn("key", _keys("code_a")).join(open_, ["field", "key"])
-            near = near.where(F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= FAR).select("field", "row_a", "row_b", "cls_b", "code_b").distinct()
-            near = materialize(near, "near")
+            met = keys(front, "field", "cls_a").join(open_, "key").groupBy("field", "cls_a", "cls_b").agg(F.count("*").alias("met"))
+            near = met.join(side("a"), ["field", "cls_a"]).join(side("b"), ["field", "cls_b"]).where((F.least(F.col("met") + rest, "size_a", "size_b") >= SIMILAR * union - 1e-6))
+            near = near.select("field", F.col("row_id_a").alias("row_a"), F.col("row_id_b").alias("row_b"), F.col("cls_b").alias("cls"))
+            near = materialize(near.join(reached, ["field", "cls"], "left_anti"), "near")
             if near.isEmpty():
                 break
-            new = materialize(self._similar(near).select("field", "cls_b", "code_b", "row_b").distinct(), "reached")
+            new = materialize(self._similar(near).select("field", "cls").distinct(), "reached")
             if new.isEmpty():
                 break
-            reached = reached.unionByName(new.select("field", F.col("cls_b").alias("cls")))
-            open_ = materialize(open_.join(new.select("field", "cls_b"), ["field", "cls_b"], "left_anti").select(open_.columns), "tables")
-            front = new.groupBy("field", F.col("code_b").alias("code")).agg(F.min("row_b").alias("row_a"))
+            reached = reached.unionByName(new)
+            front = materialize(c.join(new, ["field", "cls"]), "front")
         return reached.distinct()
 
     def found(self) -> DataFrame:

@@ -190,6 +190,28 @@ def test_p4_spreads_to_near_duplicates(spark):
     assert {r.row_id for r in residue.Residue(v).found().collect()} == {1, 2}
 
 
+def test_p4_links_every_similar_text(spark):
+    """Reworded copies of error pages, down to the bound of similarity, and copies of copies, against a plain walk."""
+    rng = np.random.default_rng(5)
+    base = [[f"{'abcdefgh'[i]}{rng.integers(1000)}" for _ in range(120)] for i in range(6)]
+    texts = {}
+    for i, words in enumerate(base):
+        texts[len(texts)] = "Traceback (most recent call last):\n" * 30 + " ".join(words)
+        for edits in (1, 2, 3, 4, 5, 8):
+            own = [*("traceback most recent call last " * 30).split(), *words]
+            for at in rng.choice(120, edits, replace=False):
+                own[150 + at] = f"own{len(texts)}x{at}"
+            texts[len(texts)] = " ".join(own)
+    sets = {i: set(residue._shingles(kernel.words([t])[0]).tolist()) for i, t in texts.items()}
+    want = {i for i, t in texts.items() if residue.label("text", t)[1]}
+    assert len(want) == 6
+    while new := {b for b in texts if b not in want and any(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in want)}:
+        want |= new
+    assert 12 < len(want) < len(texts)
+    v = spark.createDataFrame([("text", i, t) for i, t in texts.items()], "field string, row_id long, value string")
+    assert {r.row_id for r in residue.Residue(v).found().collect()} == want
+
+
 @needs_data
 def test_p5(spark):
     vec = defaultdict(dict)
