@@ -67,7 +67,7 @@ def p5_found(spark, folder):
 
 
 def p5_neighbours(spark, folder):
-    return neighbours.VectorIndex(table(spark, folder, "vectors")).neighbours()
+    return neighbours.VectorIndex(table(spark, folder, "vectors"), fit=False).neighbours()
 
 
 def p5_search(spark, folder):

@@ -5,7 +5,8 @@ vector a binary code of TABLES substrings of log2(n) bits. Two codes at most TAB
 (pigeonhole), so a lookup in each substring's table retrieves every code within that radius; a distance over 64 of
 the bits drops most of the rest, and the floats rank what is left.
 
-The substrings are shortened until, on the sample, they retrieve RECALL of the neighbours at least LEAST similar.
+The substrings are shortened until, on the sample, they retrieve RECALL of the neighbours at least LEAST similar. `mutual` reads this index. Neighbours farther apart have codes like any two vectors', so `neighbours` compares all
+rows of a model, in a grid of blocks of GRID rows: exact, at a cost that is quadratic in the rows.
 
 Copies of one vector are indexed once, with the k+1 smallest ids, which is all that their neighbours can see. A bucket
 above BUCKET rows is compared in blocks that keep k+1 neighbours a row, so nothing is dropped and no task holds more
@@ -13,8 +14,7 @@ than two blocks; one above HUGE rows is split by further substrings before.
 
 Vectors that are null, empty, zero, not finite, or of a length other than dim are left out, as are rows without
 chunk_id or model. Equal duplicate rows count once; several vectors of one chunk and model are one row each and not
-each other's neighbours. Ties go to the smaller id. Neighbours farther apart than the radius are found by `search`,
-which compares a stated set of queries with all rows.
+each other's neighbours. Ties go to the smaller id. `search` compares a stated set of queries with all rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from corpusloom.llm.stream import map_batches, map_groups
 from corpusloom.plans.shared import materialize
 
 TABLES, SAMPLE, ROUNDS, FAR_BITS, SEED = 24, 4000, 15, 18, 7
-BUCKET, BLOCK, HUGE = 256, 1024, 8192
+BUCKET, BLOCK, HUGE, GRID = 256, 1024, 8192, 8192
 LEAST, RECALL, QUERIES = 0.9, 0.97, 500
 
 
@@ -82,7 +82,7 @@ def _by_model(b: pa.RecordBatch):
 
 
 class VectorIndex:
-    def __init__(self, vectors: DataFrame, k: int = 5, tables: int = TABLES, sample: int = SAMPLE, seed: int = SEED):
+    def __init__(self, vectors: DataFrame, k: int = 5, tables: int = TABLES, sample: int = SAMPLE, seed: int = SEED, fit: bool = True):
         self.spark, self.k, self.tables = vectors.sparkSession, k, tables
         good = usable(vectors).withColumn("cls", F.xxhash64("model", "vec"))
         # row_number below a bound is applied before the exchange, so a third of all rows with one vector moves as k+1 a partition
@@ -91,7 +91,8 @@ class VectorIndex:
         grouped = few.groupBy("cls", "model").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"), F.first("vec").alias("vec"))
         self.rows = materialize(grouped, "vectors")
         self.all = good.select("chunk_id", "model", "cls").distinct()
-        self._fit(sample, seed)
+        if fit:
+            self._fit(sample, seed)
 
     def _fit(self, sample: int, seed: int) -> None:
         """Learn each model's rotations on at most `sample` of its vectors, those of the least hashes."""
@@ -197,10 +198,39 @@ class VectorIndex:
 
         return map_groups(rows, ["key", "b0", "b1"], fn, "cls long, other long, similarity double")
 
-    def neighbour_lists(self) -> DataFrame:
-        """(cls, id, similarity): the k+1 nearest ids of each class of copies, its own members among them."""
-        pairs = self._ranked(self.candidates())
-        near = pairs.unionByName(self._hot_neighbours()).distinct()
+    def _all_neighbours(self) -> DataFrame:
+        """(cls, other, similarity): the k+1 nearest of each row among all rows of its model, block by block."""
+        k = self.k
+        rows = self.rows.select("cls", "model", F.size("vec").alias("dim"), "vec")
+        blocks = rows.groupBy("model", "dim").agg(F.ceil(F.count("*") / GRID).cast("int").alias("blocks"))
+        rows = rows.join(F.broadcast(blocks), ["model", "dim"]).withColumn("b", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("model", "dim", F.least("b", "o").alias("b0"), F.greatest("b", "o").alias("b1"), (F.col("b") > F.col("o")).alias("second"), "cls", "vec")
+
+        def fn(t: pa.Table) -> pa.Table:
+            cls, second = t["cls"].to_numpy(), t["second"].to_numpy()
+            x = _stacked(t["vec"].combine_chunks())[0][2]
+            same = t["b0"][0].as_py() == t["b1"][0].as_py()
+            out: dict[str, list] = {"cls": [], "other": [], "similarity": []}
+            for left, right in ((~second, ~second),) if same else ((~second, second), (second, ~second)):
+                ids, own, others, y = cls[left], x[left], cls[right], x[right]
+                n = min(k + 1, len(others))
+                for at in range(0, len(ids) if n else 0, BLOCK):
+                    s = own[at : at + BLOCK] @ y.T
+                    if same:
+                        s[np.arange(len(s)), at + np.arange(len(s))] = -2
+                    top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                    i, j = np.repeat(np.arange(len(s)), n), top.ravel()
+                    keep = s[i, j] > -2
+                    for name, v in zip(out, (ids[at + i[keep]], others[j[keep]], s[i, j][keep])):
+                        out[name].append(v)
+            return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "similarity" else np.int64) for c, v in out.items()})
+
+        return rows.groupBy("model", "dim", "b0", "b1").applyInArrow(fn, "cls long, other long, similarity double")
+
+    def neighbour_lists(self, least: bool = False) -> DataFrame:
+        """(cls, id, similarity): the k+1 nearest ids of each class of copies, its own members among them; with least, those that the index finds."""
+        near = self._ranked(self.candidates()).unionByName(self._hot_neighbours()).distinct() if least else self._all_neighbours()
         ids = self.rows.select(F.col("cls").alias("other"), F.explode("ids").alias("id"))
         rank = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
         near = near.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= self.k + 1).select("cls", "other", "similarity")
@@ -209,17 +239,17 @@ class VectorIndex:
         best = Window.partitionBy("cls").orderBy(F.desc("similarity"), "id")
         return listed.withColumn("n", F.row_number().over(best)).where(F.col("n") <= self.k + 1).select("cls", "id", "similarity")
 
-    def neighbours(self, members: DataFrame | None = None) -> DataFrame:
-        """(chunk_id, neighbour, similarity, rank): the k nearest of every row; members limits the rows to some (chunk_id, cls)."""
+    def neighbours(self, members: DataFrame | None = None, least: bool = False) -> DataFrame:
+        """(chunk_id, neighbour, similarity, rank): the k nearest of every row, with least as far as the index finds them; members limits the rows to some (chunk_id, cls)."""
         rows = self.all.select("chunk_id", "cls") if members is None else members
-        listed = rows.join(self.neighbour_lists(), "cls").where("chunk_id <> id")
+        listed = rows.join(self.neighbour_lists(least), "cls").where("chunk_id <> id")
         rank = Window.partitionBy("cls", "chunk_id").orderBy(F.desc("similarity"), "id")
         return listed.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= self.k).select("chunk_id", F.col("id").alias("neighbour"), "similarity", "rank")
 
     def mutual(self, least: float = 0.9) -> DataFrame:
         """(chunk_id_a, chunk_id_b): pairs at least that similar, each among the other's k nearest."""
         # of copies only the k+1 smallest ids are among any other's nearest
-        near = materialize(self.neighbours(self.rows.select(F.explode("ids").alias("chunk_id"), "cls")).where(F.col("similarity") >= least).select("chunk_id", "neighbour").distinct(), "near")
+        near = materialize(self.neighbours(self.rows.select(F.explode("ids").alias("chunk_id"), "cls"), least=True).where(F.col("similarity") >= least).select("chunk_id", "neighbour").distinct(), "near")
         back = near.select(F.col("neighbour").alias("chunk_id"), F.col("chunk_id").alias("neighbour"))
         return near.join(back, ["chunk_id", "neighbour"]).where("chunk_id < neighbour").select(F.col("chunk_id").alias("chunk_id_a"), F.col("neighbour").alias("chunk_id_b")).distinct()
 
@@ -258,12 +288,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 2048
     return got.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def recall(vectors: DataFrame, least: float = 0.9, k: int = 5, every: int = 20) -> DataFrame:
-    """(true_neighbours, found, recall) of the index against brute force, over the queries whose id is divisible by `every`."""
-    index = VectorIndex(vectors, k)
-    exact = search(vectors.where(F.col("chunk_id") % every == 0), vectors, k).where(F.col("similarity") >= least).select("chunk_id", "neighbour")
+def recall(vectors: DataFrame, least: float | None = None, k: int = 5, every: int = 20) -> DataFrame:
+    """(true_neighbours, found, recall) of all k nearest against brute force, over the queries whose id is divisible by `every`; with least, of the index and the neighbours at least that similar."""
+    index = VectorIndex(vectors, k, fit=least is not None)
+    exact = search(vectors.where(F.col("chunk_id") % every == 0), vectors, k).where(F.lit(least is None) | (F.col("similarity") >= F.lit(least))).select("chunk_id", "neighbour")
     members = index.all.where(F.col("chunk_id") % every == 0).select("chunk_id", "cls")
-    got = index.neighbours(members).select("chunk_id", "neighbour", F.lit(1).alias("hit")).distinct()
+    got = index.neighbours(members, least is not None).select("chunk_id", "neighbour", F.lit(1).alias("hit")).distinct()
     both = exact.join(got, ["chunk_id", "neighbour"], "left")
     n = both.agg(F.count("*").alias("true_neighbours"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"))
     return n.withColumn("recall", F.when(F.col("true_neighbours") > 0, F.col("found") / F.col("true_neighbours")).otherwise(1.0))

@@ -251,6 +251,29 @@ def test_p5_hot_bucket(spark, monkeypatch):
     assert len(plain & found) >= 0.9 * len(plain)
 
 
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, "m", len(v), v.tolist()) for i, v in enumerate(x)], "chunk_id long, model string, dim int, vec array<float>")
+
+
+def _nearest(x, k=5):
+    x = np.float32(x).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    return s, {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[:k]}
+
+
+def test_p5_all_neighbours(spark, monkeypatch):
+    """Vectors without close neighbours: all k nearest are found all the same, over several blocks."""
+    monkeypatch.setattr(neighbours, "GRID", 64, raising=False)
+    x = np.random.default_rng(2).standard_normal((400, 32))
+    v = _vectors(spark, x)
+    got = {(r.chunk_id, r.neighbour) for r in neighbours.VectorIndex(v).neighbours().collect()}
+    assert got == _nearest(x)[1]
+    r = neighbours.recall(v).first()
+    assert (r.true_neighbours, r.found, r.recall) == (100, 100, 1.0)
+
+
 @pytest.mark.parametrize("a,b,same", [("ﬁne", "fine", True), ("ＡＢ　ｃ", "AB c", True), ("é", "é", True), ("a​b", "ab", True), ("раypal", "paypal", True), ("e", "é", False), ("A", "a", False), ("a b", "a  b", False), ("a\nb", "a b", False), ("👩‍💻", "👩💻", False), ("x²", "x2", False), ("a\r\nb", "a\nb", True)])
 def test_p6_skeleton(a, b, same):
     assert (lookalike.skeleton(a) == lookalike.skeleton(b)) == same
