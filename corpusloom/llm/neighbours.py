@@ -5,12 +5,13 @@ vector a binary code of TABLES substrings of log2(n) bits. Two codes at most TAB
 (pigeonhole), so a lookup in each substring's table retrieves every code within that radius; a distance over 64 of
 the bits drops most of the rest, and the floats rank what is left.
 
-The substrings are shortened until, on the sample, they retrieve RECALL of the neighbours at least LEAST similar. `mutual` reads this index. Neighbours farther apart have codes like any two vectors', so `neighbours` compares all
+The substrings are shortened until they retrieve RECALL of the neighbours at least LEAST similar that QUERIES sampled vectors have
+among all rows. `mutual` reads this index. Neighbours farther apart have codes like any two vectors', so `neighbours` compares all
 rows of a model, in a grid of blocks of GRID rows: exact, at a cost that is quadratic in the rows.
 
 Copies of one vector are indexed once, with the k+1 smallest ids, which is all that their neighbours can see. A bucket
 above BUCKET rows is compared in blocks that keep k+1 neighbours a row, so nothing is dropped and no task holds more
-than two blocks; one above HUGE rows is split by further substrings before.
+than two blocks.
 
 Vectors that are null, empty, zero, not finite, or of a length other than dim are left out, as are rows without
 chunk_id or model. Equal duplicate rows count once; several vectors of one chunk and model are one row each and not
@@ -30,7 +31,7 @@ from corpusloom.llm.stream import map_batches, map_groups
 from corpusloom.plans.shared import materialize
 
 TABLES, SAMPLE, ROUNDS, FAR_BITS, SEED = 24, 4000, 15, 18, 7
-BUCKET, BLOCK, HUGE, GRID = 256, 1024, 8192, 8192
+BUCKET, BLOCK, GRID = 256, 1024, 8192
 LEAST, RECALL, QUERIES = 0.9, 0.97, 500
 
 
@@ -99,6 +100,7 @@ class VectorIndex:
         self.models = {(r.model, r.dim): r.n for r in self.rows.groupBy("model", F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()}
         least = Window.partitionBy("model", F.size("vec")).orderBy("cls")
         some = self.rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample).select("model", "vec").collect()
+        near = self._true_neighbours(some)
         rotations: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, int]] = {}
         self.far = FAR_BITS
         for (model, dim), n in self.models.items():
@@ -108,21 +110,41 @@ class VectorIndex:
             rng = np.random.default_rng([seed, dim])
             turns = -(-max(64, self.tables * bits) // dim)
             r = np.hstack([learned_rotation(x - mean, rng) for _ in range(turns)]).astype(np.float32)
-            bits, far = self._tuned(x, (x - mean).astype(np.float32) @ r >= 0, bits)
+            on = [(_matrix(v) - mean).astype(np.float32) @ r >= 0 for v in near.get((model, dim), ())]
+            bits, far = self._tuned(on[0] == on[1], bits) if on else (bits, 0)
             rotations[model, dim] = (mean, r, bits)
             self.far = max(self.far, far)
         self.rotations = self.spark.sparkContext.broadcast(rotations)
 
-    def _tuned(self, x: np.ndarray, on: np.ndarray, bits: int) -> tuple[int, int]:
-        """The most bits a substring, up to `bits`, that retrieve RECALL of the sample's neighbours, and how far apart of 64 those may be."""
-        s = x[:QUERIES] @ x.T
-        s[np.arange(len(s)), np.arange(len(s))] = -2
-        top = np.argsort(-s, axis=1, kind="stable")[:, : self.k]
-        i, j = np.nonzero(np.take_along_axis(s, top, axis=1) >= LEAST)
-        pairs = on[i] == on[top[i, j]]
-        while bits > 4 and len(pairs) and pairs[:, : self.tables * bits].reshape(len(pairs), self.tables, bits).all(axis=2).any(axis=1).mean() < RECALL:
+    def _true_neighbours(self, some: list) -> dict[tuple[str, int], tuple[list, list]]:
+        """For each model the vectors of QUERIES sampled rows and of their neighbours among all rows, by exact search, that are LEAST similar or more."""
+        count: dict[tuple[str, int], int] = {}
+        queries = []
+        for r in some:
+            at = r.model, len(r.vec)
+            count[at] = count.get(at, 0) + 1
+            if count[at] <= QUERIES:
+                queries.append((len(queries), *at, r.vec))
+        if not queries:
+            return {}
+        # ids of queries are no classes', so a query finds itself as well
+        q = self.spark.createDataFrame(queries, "chunk_id long, model string, dim int, vec array<float>")
+        rows = self.rows.select(F.col("cls").alias("chunk_id"), "model", F.size("vec").alias("dim"), "vec")
+        got = search(q, rows, self.k + 1).where(F.col("similarity") >= LEAST).select("chunk_id", F.col("neighbour").alias("cls"))
+        out: dict[tuple[str, int], tuple[list, list]] = {}
+        for r in got.join(self.rows.select("cls", "vec"), "cls").collect():
+            _, model, dim, vec = queries[r.chunk_id]
+            if r.vec != vec:
+                a, b = out.setdefault((model, dim), ([], []))
+                a.append(vec)
+                b.append(r.vec)
+        return out
+
+    def _tuned(self, pairs: np.ndarray, bits: int) -> tuple[int, int]:
+        """The most bits a substring, up to `bits`, that retrieve RECALL of the pairs (equal bits of two neighbours), and how far apart of 64 those may be."""
+        while bits > 4 and pairs[:, : self.tables * bits].reshape(len(pairs), self.tables, bits).all(axis=2).any(axis=1).mean() < RECALL:
             bits -= 1
-        return bits, int(np.quantile((~pairs[:, :64]).sum(axis=1), 0.999)) + 3 if len(pairs) else 0
+        return bits, int(np.quantile((~pairs[:, :64]).sum(axis=1), 0.999)) + 3
 
     def coded(self) -> DataFrame:
         """(cls, model, dim, code, keys): 64 bits for the distance and the key of each table."""
@@ -145,16 +167,11 @@ class VectorIndex:
     def candidates(self) -> DataFrame:
         """(a, b): classes that share a substring and are near in the code, a < b."""
         coded = materialize(self.coded(), "codes")
-        rows = coded.select("cls", "code", "keys", "model", "dim", F.posexplode("keys").alias("t", "key"))
-        rows = rows.select("cls", "code", F.xxhash64("model", "dim", "t", "key").alias("key"), F.xxhash64("model", "dim", "t", "key", F.get("keys", (F.col("t") + 1) % self.tables), F.get("keys", (F.col("t") + 2) % self.tables)).alias("longer"))
+        rows = coded.select("cls", "code", "model", "dim", F.posexplode("keys").alias("t", "key")).select("cls", "code", F.xxhash64("model", "dim", "t", "key").alias("key"))
         n = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         rows = rows.join(n, "key")
-        small = rows.where(F.col("n") <= BUCKET).select("cls", "code", "key")
-        large, huge = rows.where((F.col("n") > BUCKET) & (F.col("n") <= HUGE)).select("cls", "key", "n"), rows.where(F.col("n") > HUGE).select("cls", "code", F.col("longer").alias("key"))
-        m = huge.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        huge = huge.join(m, "key")
-        self.hot = large.unionByName(huge.where(F.col("n") > BUCKET).select("cls", "key", "n"))
-        joined = small.unionByName(huge.where(F.col("n") <= BUCKET).select("cls", "code", "key"))
+        self.hot = rows.where(F.col("n") > BUCKET).select("cls", "key", "n")
+        joined = rows.where(F.col("n") <= BUCKET).select("cls", "code", "key")
         a, b = joined.toDF("a", "code_a", "key"), joined.toDF("b", "code_b", "key")
         near = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= self.far
         return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()

@@ -274,6 +274,18 @@ def test_p5_all_neighbours(spark, monkeypatch):
     assert (r.true_neighbours, r.found, r.recall) == (100, 100, 1.0)
 
 
+def test_p5_one_huge_group(spark, monkeypatch):
+    """A group so large that all its buckets are: its neighbours are found as in small buckets."""
+    for name, value in (("BUCKET", 16), ("BLOCK", 16), ("HUGE", 32)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(32) + 0.22 * rng.standard_normal((300, 32))
+    s, best = _nearest(x)
+    want = {(a, b) for a, b in best if a < b and (b, a) in best and s[a, b] >= 0.9}
+    got = rows(neighbours.VectorIndex(_vectors(spark, x)).mutual())
+    assert len(want) > 100 and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
 @pytest.mark.parametrize("a,b,same", [("ﬁne", "fine", True), ("ＡＢ　ｃ", "AB c", True), ("é", "é", True), ("a​b", "ab", True), ("раypal", "paypal", True), ("e", "é", False), ("A", "a", False), ("a b", "a  b", False), ("a\nb", "a b", False), ("👩‍💻", "👩💻", False), ("x²", "x2", False), ("a\r\nb", "a\nb", True)])
 def test_p6_skeleton(a, b, same):
     assert (lookalike.skeleton(a) == lookalike.skeleton(b)) == same
