@@ -276,8 +276,8 @@ def test_p5_all_neighbours(spark, monkeypatch):
 
 def test_p5_one_huge_group(spark, monkeypatch):
     """A group so large that all its buckets are: its neighbours are found as in small buckets."""
-    for name, value in (("BUCKET", 16), ("BLOCK", 16), ("HUGE", 32)):
-        monkeypatch.setattr(neighbours, name, value, raising=False)
+    for name, value in (("BUCKET", 16), ("BLOCK", 16)):
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(4)
     x = rng.standard_normal(32) + 0.22 * rng.standard_normal((300, 32))
     s, best = _nearest(x)
@@ -286,6 +286,34 @@ def test_p5_one_huge_group(spark, monkeypatch):
     assert len(want) > 100 and len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+def test_p5_pairs_of_buckets():
+    """Buckets that span batches, large and dense ones: every near pair is met, or its bucket's rows are passed on."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    key = np.sort(np.concatenate([rng.integers(0, 40, 300), np.full(neighbours.BUCKET + 50, 50), np.full(60, 51)]))
+    code = rng.integers(0, 1 << 62, (len(key), 4)).astype(np.uint64)
+    code[key % 7 == 0] = code[0]
+    cls = rng.permutation(len(key))
+    table = pa.table({"key": key, "cls": cls, "code": [c.tobytes() for c in code]})
+    got, passed = set(), set()
+    for b in neighbours._met(table.to_batches(max_chunksize=97)):
+        for k, a, o in zip(*(b[c].to_pylist() for c in ("key", "a", "b"))):
+            passed.add((k, a)) if o is None else got.add((a, o))
+    near = {(min(cls[i], cls[j]), max(cls[i], cls[j]), key[i]) for i in range(360) for j in range(i) if key[i] == key[j] and np.bitwise_count(code[i] ^ code[j]).sum() <= neighbours.FAR}
+    assert near and all((a, b) in got or {(k, a), (k, b)} <= passed for a, b, k in near)
+    assert {c for k, c in passed if k == 50} == set(cls[key == 50].tolist())
+    assert len([1 for k, _ in passed]) < len(key)
+
+
+def test_p5_no_broadcast_of_rows(spark):
+    """No side that grows with the vectors is broadcast, however small its files are."""
+    v = _vectors(spark, np.random.default_rng(7).standard_normal((50, 16)))
+    index = neighbours.VectorIndex(v)
+    for df in (index.mutual(), index.neighbours(), neighbours.search(v, v)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("a,b,same", [("ﬁne", "fine", True), ("ＡＢ　ｃ", "AB c", True), ("é", "é", True), ("a​b", "ab", True), ("раypal", "paypal", True), ("e", "é", False), ("A", "a", False), ("a b", "a  b", False), ("a\nb", "a b", False), ("👩‍💻", "👩💻", False), ("x²", "x2", False), ("a\r\nb", "a\nb", True)])
 def test_p6_skeleton(a, b, same):
     assert (lookalike.skeleton(a) == lookalike.skeleton(b)) == same
