@@ -26,20 +26,16 @@ def p1_clean(spark, folder):
     return _site_lines(spark, folder).clean(table(spark, folder, "chunks"))
 
 
-def _history(spark, folder):
-    return history.History(table(spark, folder, "docs"), table(spark, folder, "chunks"))
+def p2_rejected(spark, folder):
+    return history.rejected(table(spark, folder, "docs"), table(spark, folder, "chunks"))
 
 
 def p2_found(spark, folder):
-    return history.pairs(_history(spark, folder).rejected())
-
-
-def p2_rejected(spark, folder):
-    return _history(spark, folder).rejected()
+    return history.pairs(p2_rejected(spark, folder))
 
 
 def p2_accepted(spark, folder):
-    return history.accepted(table(spark, folder, "docs"), _history(spark, folder).rejected())
+    return history.accepted(table(spark, folder, "docs"), p2_rejected(spark, folder))
 
 
 def p3_pieces(spark, folder):

@@ -14,6 +14,7 @@ import numpy as np
 U = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # both odd
 SEP = "\n"
+MASK = (1 << 64) - 1
 
 
 @functools.cache

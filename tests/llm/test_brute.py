@@ -110,10 +110,50 @@ def test_p2_hot_cluster(spark):
     texts = [(i, 0, " ".join(words[:60] + [f"own{i}"] + words[60:])) for i in range(150)]
     d = spark.createDataFrame(docs, "doc_id long, batch_id int, url string, sha256 string")
     c = spark.createDataFrame(texts, "doc_id long, seq int, text string")
-    got = {r.doc_id: r.kept for r in history.History(d, c).rejected().collect()}
+    got = {r.doc_id: r.kept for r in history.rejected(d, c).collect()}
     assert set(got) == set(range(10, 150)) and all(k < 10 for k in got.values())
 
 
+def test_p2_edited_texts(spark):
+    """Words replaced evenly and at random, down to the bound of overlap, in short and long texts."""
+    rng = np.random.default_rng(8)
+    runs = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    old, new, want = [], [], set()
+    for i in range(240):
+        n = [40, 60, 99, 101, 160, 319, 321, 700][i % 8]
+        w = [f"w{x}" for x in rng.integers(0, 4000, n)]
+        at = np.arange(rng.integers(3, 10), n, int(rng.integers(18, 30))) if i % 3 else rng.choice(n, max(1, int(n * rng.uniform(0.02, 0.06))), replace=False)
+        v = list(w)
+        for x in at:
+            v[x] = f"own{i}x{x}"
+        if len(runs(w) & runs(v)) >= 0.6 * len(runs(w) | runs(v)):
+            want.add(1000 + i)
+        old.append((i, None, None, " ".join(w)))
+        new.append((1000 + i, None, None, " ".join(v)))
+    h = history.History(spark)
+    schema = "doc_id long, sha256 string, url string, text string"
+    assert h.add(spark.createDataFrame(old, schema)).count() == 0
+    got = {r.doc_id: r.kept for r in h.add(spark.createDataFrame(new, schema)).collect()}
+    assert len(want) > 150 and set(got) == want and all(k == d - 1000 for d, k in got.items())
+
+
+def test_p2_history_goes_on(spark, tmp_path):
+    """A stored history, opened again, decides a new batch; of its texts only candidates' are compared."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    schema = "doc_id long, sha256 string, url string, text string"
+    folder = f"file://{tmp_path}/history"
+    one = history.History(spark, folder)
+    one.add(spark.createDataFrame([(i, f"S{i}", f"https://a.example/{i}", text(i)) for i in range(50)], schema))
+    two = history.History(spark, folder)
+    new = [(100, "s3", None, "other"), (101, None, "http://www.a.example/4/", None), (102, None, None, text(5) + " more"), (103, None, None, text(200)), (104, "", "", "")]
+    got = {(r.doc_id, r.kept, r.by) for r in two.add(spark.createDataFrame(new, schema)).collect()}
+    assert got == {(100, 3, "sha"), (101, 4, "page"), (102, 5, "text")}
+    three = history.History(spark, folder)
+    assert three.batches == two.batches and {r.doc_id for r in three.add(spark.createDataFrame([(200, None, None, text(200)), (201, None, None, text(6))], schema)).collect()} == {200, 201}
+    plan = two.lookup.read(two.batches).join(spark.createDataFrame([(0, 0)], "h long, n int").hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize(
     "a,b,same",
     [
