@@ -1,9 +1,10 @@
 """Problem 9: sources mixed to target weights.
 
 Documents are counted in tokens of a public tokenizer and packed, source by source, into blocks of BLOCK tokens. Each of
-SHARDS output shards draws multinomial counts of its sources; a source's slots are numbered over all shards, and slot
+output shards (of about SLOTS blocks) draws multinomial counts of its sources; a source's slots are numbered over all shards, and slot
 j holds block perm(j mod n) of pass j div n, where perm is a keyed permutation of the source's n blocks. Slots and blocks
-meet in a join by index; a source has no more than max_repeats passes.
+meet in a join by index; a source has no more than max_repeats passes, and slots beyond them are refused. Packing sorts a source's documents in
+lanes of about LANE tokens, so neither a task nor an array grows with the data.
 
 Source names are compared trimmed and in lower case; documents without a source count for the total only. A null text
 has 0 tokens. Every document row counts. Equal target rows count once; of several targets of one source the largest
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernel as K
-from corpusloom.llm.stream import map_batches
+from corpusloom.llm.stream import map_batches, merge
 from corpusloom.plans.shared import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenizing pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK, SHARDS, LANES, SEED = 2048, 64, 256, 20240301
+BLOCK, SLOTS, LANE, SEED = 2048, 8192, 1 << 24, 20240301
 _PART = 1 << 17
+DEVIATIONS = 6
 
 
 @functools.cache
@@ -83,8 +85,8 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4)
 class Mixture:
     """A selection of blocks in which each source has its target share of `total` tokens (all documents' by default)."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, total: int | None = None):
-        self.spark, self.block, self.shards, self.seed = documents.sparkSession, block, shards, seed
+    def __init__(self, documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, shards: int | None = None, seed: int = SEED, total: int | None = None):
+        self.spark, self.block, self.seed = documents.sparkSession, block, seed
         self.sizes = materialize(sized(documents, vocabulary), "sizes")
         name = F.nullif(F.lower(F.trim("source")), F.lit(""))
         share, repeats = F.coalesce(F.col("target_share"), F.lit(0.0)), F.coalesce(F.col("max_repeats"), F.lit(1))
@@ -95,18 +97,21 @@ class Mixture:
         every = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("all_tokens"))
         plan = self.targets.join(own, "source", "left").crossJoin(F.broadcast(every)).withColumn("whole", whole)
         plan = plan.withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("long")).withColumn("n_docs", F.coalesce("n_docs", F.lit(0)).cast("long"))
-        self.plan = plan.select("source", "target_share", "max_repeats", "tokens", "n_docs", "whole", F.ceil(F.col("tokens") / block).cast("long").alias("blocks"))
+        plan = plan.select("source", "target_share", "max_repeats", "tokens", "n_docs", "whole", F.ceil(F.col("tokens") / block).cast("long").alias("blocks"), F.ceil(F.greatest("tokens", F.lit(1)) / LANE).cast("long").alias("lanes"))
+        rows = plan.collect()  # a row a target
+        self.plan = self.spark.createDataFrame(rows, plan.schema)
+        self.shards = shards or max(1, math.ceil(sum(max(0.0, r.target_share) * r.whole for r in rows) / block / SLOTS))
 
     def packed(self) -> DataFrame:
         """(source, idx, doc_id, from_token, to_token): which tokens of which documents make up each block.
 
-        Documents lie end to end in the order (lane, doc_id); LANES lanes a source bound what one task sorts."""
-        s = self.sizes.join(self.plan.select("source"), "source").where("n_tokens > 0").withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(LANES)))
+        Documents lie end to end in the order (lane, doc_id)."""
+        s = self.sizes.join(F.broadcast(self.plan.select("source", "lanes")), "source").where("n_tokens > 0").withColumn("lane", F.pmod(F.xxhash64("doc_id"), "lanes"))
         lanes = s.groupBy("source", "lane").agg(F.sum("n_tokens").alias("w"))
         before = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
         lanes = lanes.select("source", "lane", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("base"))
         inside = Window.partitionBy("source", "lane").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = s.withColumn("upto", F.sum("n_tokens").over(inside)).join(lanes, ["source", "lane"])
+        placed = merge(s.withColumn("upto", F.sum("n_tokens").over(inside))).join(merge(lanes), ["source", "lane"])
         end = F.col("base") + F.col("upto")
         placed = placed.select("source", "doc_id", (end - F.col("n_tokens")).alias("start"), end.alias("end"))
         idx = F.explode(F.sequence(F.expr(f"start div {self.block}"), F.expr(f"(end - 1) div {self.block}")))
@@ -114,8 +119,8 @@ class Mixture:
         lo, hi = F.greatest("start", F.col("idx") * self.block), F.least("end", (F.col("idx") + 1) * self.block)
         return parts.select("source", "idx", "doc_id", (lo - F.col("start")).alias("from_token"), (hi - F.col("start")).alias("to_token"))
 
-    def slots(self) -> DataFrame:
-        """(source, shard, slot, pass, idx): the block of each slot, with no more than max_repeats passes over a source."""
+    def drawn(self) -> DataFrame:
+        """(source, shard, drawn): the multinomial counts of each shard."""
         block, shards, seed = self.block, self.shards, self.seed
         # a row a shard carries the few targets; counts are drawn, numbered and expanded without leaving the cluster
         rows = self.plan.agg(F.collect_list(F.struct("source", "target_share", "whole")).alias("plan"), F.max("whole").alias("whole"))
@@ -134,7 +139,11 @@ class Mixture:
                             out[k].append(v)
             return out
 
-        drawn = map_batches(table, draw, "shard long, source string, drawn long")
+        return map_batches(table, draw, "shard long, source string, drawn long")
+
+    def slots(self) -> DataFrame:
+        """(source, shard, slot, pass, idx): the block of each slot, with no more than max_repeats passes over a source."""
+        seed, drawn = self.seed, self.drawn()
         before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         drawn = drawn.withColumn("base", F.coalesce(F.sum("drawn").over(before), F.lit(0))).where("drawn > 0")
         num = drawn.select("source", "shard", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("drawn") - 1)).alias("slot"))
@@ -152,12 +161,13 @@ class Mixture:
 
     def selection(self) -> DataFrame:
         """(shard, slot, source, pass, idx, doc_id, from_token, to_token): the mixture."""
-        return self.slots().join(self.packed(), ["source", "idx"])
+        return merge(self.slots()).join(merge(self.packed()), ["source", "idx"])
 
     def report(self) -> DataFrame:
         """A row a target: supply and demand in tokens, what was delivered, actual share and repeats, and whether the source falls short."""
         got = self.selection().groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("delivered"), F.max("pass").alias("last"))
-        r = self.plan.join(got, "source", "left").withColumn("delivered", F.coalesce("delivered", F.lit(0)).cast("long"))
+        asked = self.drawn().groupBy("source").agg(F.sum("drawn").alias("drawn"))
+        r = self.plan.join(got, "source", "left").join(asked, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("delivered", "drawn")})
         out = F.sum("delivered").over(Window.partitionBy(F.lit(1)))  # one row a target
         return r.select(
             "source",
@@ -168,6 +178,8 @@ class Mixture:
             (F.col("tokens") * F.col("max_repeats")).alias("supply"),
             (F.col("whole") * F.col("target_share")).alias("demand"),
             "delivered",
+            "drawn",
+            F.greatest(F.col("drawn") - F.col("blocks") * F.col("max_repeats"), F.lit(0)).cast("long").alias("refused"),
             F.when(out > 0, F.col("delivered") / out).otherwise(0.0).alias("actual_share"),
             F.when(F.col("tokens") > 0, F.col("delivered") / F.col("tokens")).otherwise(0.0).alias("repeats"),
             (F.col("tokens") * F.col("max_repeats") < F.col("whole") * F.col("target_share")).alias("short"),
@@ -176,6 +188,8 @@ class Mixture:
     def short(self) -> DataFrame:
         """(source) of the targets that the mixture leaves unmet for want of supply.
 
-        What was delivered falls short of the demand in each of them; of the sources where it does, the exact check drops
-        those whose draw only came out low."""
-        return self.report().where("delivered < demand AND short").select("source")
+        Those whose draw had slots refused by the cap on repeats, or came so close to the cap that chance may have spared it
+        (within DEVIATIONS of a multinomial count, and a block for each pass); the token sums decide among them."""
+        asked = self.drawn().groupBy("source").agg(F.sum("drawn").alias("drawn"))
+        near = F.col("drawn") + DEVIATIONS * F.sqrt("drawn") + F.col("max_repeats") + 1 > F.col("blocks") * F.col("max_repeats")
+        return self.plan.join(asked, "source").where(near).where(F.col("tokens") * F.col("max_repeats") < F.col("whole") * F.col("target_share")).select("source")

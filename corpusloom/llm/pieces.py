@@ -1,7 +1,7 @@
 """Problem 3: oversized items cut into pieces at natural boundaries.
 
 Balanced targets: the least number of pieces is computed, targets of equal length are placed, each snaps to the
-strongest boundary nearby (heading, paragraph, line, word), and a piece is added whenever a limit fails or a cut finds no
+strongest boundary nearby (heading, paragraph, line, sentence, word), and a piece is added whenever a limit fails or a cut finds no
 boundary that one more piece would give it. Lengths count code points of the canonical composition (NFC) without
 white space at the ends. A piece starts exactly `overlap` code points before the last one's end, or a few more where
 that would part a character from its marks.
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.stream import map_batches
+from corpusloom.llm.stream import map_batches, merge
 
-HEADING, PARAGRAPH, LINE, WORD = 4, 3, 2, 1
-_BOUNDARY = re.compile(r"(?P<h>\n(?=#{1,6}\s))|(?P<p>\n[^\S\n]*\n+)|(?P<l>\n)|(?P<w>[^\S\n]+|[。！？])")
-_LEVEL = {"h": HEADING, "p": PARAGRAPH, "l": LINE, "w": WORD}
+HEADING, PARAGRAPH, LINE, SENTENCE, WORD = 5, 4, 3, 2, 1
+_BOUNDARY = re.compile(r"(?P<h>\n(?=#{1,6}\s))|(?P<p>\n[^\S\n]*\n+)|(?P<l>\n)|(?P<s>(?<=[.!?…])[\"'”’»)\]]*[^\S\n]+|[。！？])|(?P<w>[^\S\n]+)")
+_LEVEL = {"h": HEADING, "p": PARAGRAPH, "l": LINE, "s": SENTENCE, "w": WORD}
 _MORE = 3
 
 
@@ -117,8 +117,13 @@ def split(text: str | None, most: int, overlap: int) -> list[tuple[int, int]]:
     return [(start if not i else _whole(text, c - overlap), d) for i, (c, d) in enumerate(zip([start, *edges], [*edges, end]))]
 
 
-def _lengths(b: pa.RecordBatch) -> dict:
-    return {"chunk_id": b["chunk_id"], "doc_id": b["doc_id"], "size": [measured(t) for t in b["text"].to_pylist()]}
+def _long(least: int):
+    def fn(b: pa.RecordBatch) -> dict:
+        sizes = [measured(t) for t in b["text"].to_pylist()]
+        keep = [i for i, n in enumerate(sizes) if n > least]
+        return {c: b[c].take(pa.array(keep, pa.int64())) for c in b.schema.names} | {"size": [sizes[i] for i in keep]}
+
+    return fn
 
 
 def _cut(b: pa.RecordBatch) -> dict:
@@ -139,22 +144,31 @@ def _cut(b: pa.RecordBatch) -> dict:
 
 
 def limited(chunks: DataFrame, docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """(chunk_id, size, max_chars, overlap_chars) of the chunks above their limit; narrow, no texts move."""
+    """The chunks above their limit, with size, max_chars and overlap_chars.
+
+    Each text is measured where it is read; only those above the least of all limits are moved to their docs."""
     kind = F.lower(F.trim(F.coalesce(F.nullif(F.trim("doc_type"), F.lit("")), F.lit("html"))))
     lim = limits.groupBy(kind.alias("kind")).agg(F.max("max_chars").alias("max_chars"), F.max("overlap_chars").alias("overlap_chars"))
-    html = lim.where("kind = 'html'").select(F.col("max_chars").alias("h_max"), F.col("overlap_chars").alias("h_over"))
+    lim = {r.kind: (r.max_chars, r.overlap_chars) for r in lim.collect()}  # settings: a row a type
+    html = lim.get("html", (None, None))
+    lim = {k: html if v[0] is None else v for k, v in lim.items()}
+    least = min((m for m, _ in [*lim.values(), html] if m and m > 0), default=None)
+    cols = ("doc_id", "chunk_id", "seq", "text", "start_char", "start_byte")
+    texts = chunks.select("doc_id", "chunk_id", F.col("seq").cast("int").alias("seq"), "text", F.col("start_char").cast("long").alias("start_char"), F.col("start_byte").cast("long").alias("start_byte"))
+    # composition makes a text at most three times as long
+    texts = texts.where(F.length("text") * 3 > F.lit(least if least is not None else 1 << 31))
+    schema = "doc_id long, chunk_id long, seq int, text string, start_char long, start_byte long, size long"
+    long = map_batches(texts, _long(least or 0), schema).distinct()
     of_doc = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(kind).alias("kind"))
-    sizes = map_batches(chunks.select("chunk_id", "doc_id", "text").where(F.length("text") > 0), _lengths, "chunk_id long, doc_id long, size long")
-    known = sizes.join(of_doc, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit("html"))).join(lim, "kind", "left")
-    known = known.join(F.broadcast(html), F.lit(True), "left")  # one row
-    most = F.when(F.col("max_chars").isNull(), F.col("h_max")).otherwise(F.col("max_chars"))
-    over = F.when(F.col("max_chars").isNull(), F.col("h_over")).otherwise(F.col("overlap_chars"))
-    return known.select("chunk_id", "size", most.alias("max_chars"), over.alias("overlap_chars")).where("max_chars > 0 AND size > max_chars").distinct()
+    known = merge(long).join(merge(of_doc), "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit("html")))
+    table = docs.sparkSession.createDataFrame([(k, m, o, True) for k, (m, o) in lim.items()], "kind string, max_chars int, overlap_chars int, listed boolean")
+    known = known.join(F.broadcast(table), "kind", "left")
+    either = lambda c, other: F.when(F.col("listed"), F.col(c)).otherwise(F.lit(other)).cast("int").alias(c)
+    known = known.select(*cols, "size", either("max_chars", html[0]), either("overlap_chars", html[1]))
+    return known.where("max_chars > 0 AND size > max_chars")
 
 
 def pieces(chunks: DataFrame, docs: DataFrame, limits: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, seq, piece, pieces, start_char, start_byte, text): the pieces of every oversized chunk."""
-    over = limited(chunks, docs, limits).select("chunk_id", "max_chars", "overlap_chars")
-    texts = chunks.select("doc_id", "chunk_id", "seq", "text", "start_char", "start_byte").join(over, "chunk_id")
     schema = "doc_id long, chunk_id long, seq int, piece int, pieces int, start_char long, start_byte long, text string"
-    return map_batches(texts.dropDuplicates(["chunk_id", "doc_id", "seq", "start_byte"]), _cut, schema)
+    return map_batches(limited(chunks, docs, limits), _cut, schema)

@@ -2,10 +2,10 @@
 
 A site's documents are dealt to shards of about SHARD_DOCS. In each shard the line identifiers of all its chunks are
 concatenated, a suffix array is built by prefix doubling, and its intervals of common prefixes (the nodes of the suffix
-tree) are counted by distinct documents: an interval of depth d is a block of d lines. A block that a share of the whole
-site has, has that share in some shard, so blocks below it in every shard are out; the counts of the others are added
-up over all shards, and the blocks that span enough documents are deleted wherever they stand. Shards bound a task,
-whatever the size of the site.
+tree) are counted by distinct documents: an interval of depth d is a block of d lines, one of depth 1 a single line. A block that a share of the whole
+site has, has that share in some shard, so blocks below it in every shard are out, as are those that shards without them can't
+lift over the bound. The others, and of a site of several shards their single lines too, are counted over all shards, and
+the blocks that span enough documents are deleted wherever they stand. Shards bound a task, whatever the size of the site.
 
 A line's normal form has its ends trimmed, inner white space as one space, lower case and each run of digits as one 0;
 lines with a normal form under min_chars break blocks. Chunks without a site (null or unreadable url, no docs row) and
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.stream import map_batches, map_groups
+from corpusloom.llm.stream import map_batches, map_groups, merge
 from corpusloom.plans.shared import materialize
 
 SHARD_DOCS = 1000
@@ -90,7 +90,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_blocks(symbols: np.ndarray, docs: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(position, lines, documents) of the left-maximal blocks of two or more lines in at least `least` documents."""
+    """(position, lines, documents) of the left-maximal blocks in at least `least` documents, as deep as all their places agree; of one place only where least is 1."""
     order, lcp = suffix_array(symbols)
     keep = symbols[order] >= 0
     order, lcp = order[keep], np.where(keep, lcp, 0)[keep]
@@ -111,7 +111,7 @@ def repeated_blocks(symbols: np.ndarray, docs: np.ndarray, least: int) -> list[t
             lows.pop()
             again, left = again + dup, join(prev, left)
             n = i - low - again
-            if d >= 2 and n >= least and left < 0:
+            if d >= 1 and n >= least and left < 0:
                 out.append((int(order[low]), d, n))
             if stack[-1][0] >= depth:
                 stack[-1][2] += again
@@ -127,6 +127,8 @@ def repeated_blocks(symbols: np.ndarray, docs: np.ndarray, least: int) -> list[t
             if doc in seen:
                 stack[max(0, bisect_right(lows, seen[doc]) - 1)][2] += 1
             seen[doc] = i
+    if least <= 1:
+        out += [(int(p), 1, 1) for i, p in enumerate(order) if lcp[i] == 0 and (i + 1 == len(order) or lcp[i + 1] == 0)]
     return out
 
 
@@ -164,7 +166,7 @@ def _docs_of(rows: list[dict]) -> dict[int, int]:
 
 
 def _local(min_docs: int, share: float):
-    """Candidates of one shard: (site, lines, documents there)."""
+    """Candidates of one shard: (site, lines, documents there, documents there that are too few)."""
 
     def fn(rows: list[dict]) -> list[tuple]:
         site, alone = rows[0]["site"], rows[0]["shards"] == 1
@@ -172,15 +174,16 @@ def _local(min_docs: int, share: float):
         least = max(1, int(np.ceil(share * size - 1e-9)))
         if alone:
             least = max(least, min_docs)
+        # a line in fewer documents is in no block
         often = {k: n for k, n in _docs_of(rows).items() if n >= least}
         if not often:
             return []
-        out = [(site, [k], n) for k, n in sorted(often.items())]
-        numbers = {k: i for i, k in enumerate(sorted(often))}
         names = sorted(often)
-        seq, docs, _ = _sequence(rows, numbers)
-        out += [(site, [names[x] for x in seq[p : p + d]], n) for p, d, n in repeated_blocks(seq, docs, max(2, least))]
-        return out
+        seq, docs, _ = _sequence(rows, {k: i for i, k in enumerate(names)})
+        blocks = {tuple(names[x] for x in seq[p : p + d]): n for p, d, n in repeated_blocks(seq, docs, least)}
+        if not alone:  # elsewhere the line may stand without the block
+            blocks |= {(k,): often[k] for b in blocks for k in b}
+        return [(site, list(b), n, least - 1) for b, n in sorted(blocks.items())]
 
     return fn
 
@@ -214,22 +217,27 @@ class SiteLines:
         of_doc = docs.where("doc_id IS NOT NULL").select("doc_id", site_of("url").alias("site")).groupBy("doc_id").agg(F.min("site").alias("site")).where("site IS NOT NULL")
         sizes = of_doc.groupBy("site").agg(F.count("*").alias("site_docs")).where(F.col("site_docs") >= min_docs)
         sizes = sizes.withColumn("shards", F.ceil(F.col("site_docs") / shard_docs).cast("int"))
-        placed = of_doc.join(sizes, "site").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
+        placed = merge(of_doc).join(merge(sizes), "site").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int"))
         per = placed.groupBy("site", "shard").agg(F.count("*").alias("shard_docs"))
-        placed = placed.join(per, ["site", "shard"])
+        placed = merge(placed).join(merge(per), ["site", "shard"])
         cols = ["doc_id", "site", "shard", "shards", "site_docs", "shard_docs"]
-        self.rows = materialize(keyed(chunks, min_chars).join(placed.select(cols), "doc_id").dropDuplicates(["doc_id", "chunk_id", "seq"]), "lines")
-        found = materialize(map_groups(self.rows, ["site", "shard"], _local(min_docs, share), "site string, block array<long>, n long"), "candidates")
+        self.rows = materialize(merge(keyed(chunks, min_chars)).join(merge(placed.select(cols)), "doc_id").distinct(), "lines")
+        found = materialize(map_groups(self.rows, ["site", "shard"], _local(min_docs, share), "site string, block array<long>, n long, below long"), "candidates")
         many = sizes.where("shards > 1")
-        blocks = found.join(many, "site").select("site", "block", "shards").distinct()
+        # documents that shards without a candidate may add at most
+        below = F.sum(F.greatest(F.ceil(F.col("shard_docs") * share - F.lit(1e-9)), F.lit(1)) - 1).alias("unseen")
+        bound = merge(many).join(merge(per.groupBy("site").agg(below)), "site")
+        seen = found.groupBy("site", "block").agg(F.sum(F.col("n") - F.col("below")).alias("surplus"))
+        most = F.col("surplus") + F.col("unseen")
+        blocks = merge(seen).join(merge(bound), "site").where((most >= min_docs) & (most >= F.col("site_docs") * share - F.lit(1e-9))).select("site", "block", "shards")
         probes = blocks.select("site", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block")
         typed = lambda df: df.select("site", "shard", *(c if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("chunk_id", "long"), ("seq", "int"), ("keys", "array<long>"), ("block", "array<long>"))))
         split = self.rows.where("shards > 1")
         counted = map_groups(typed(split).unionByName(typed(probes)), ["site", "shard"], _count, "site string, block array<long>, n long")
         total = counted.groupBy("site", "block").agg(F.sum("n").alias("n"))
-        single = found.join(many, "site", "left_anti")
+        single = merge(found.drop("below")).join(merge(many.select("site")), "site", "left_anti")
         enough = (F.col("n") >= min_docs) & (F.col("n") >= F.col("site_docs") * share - F.lit(1e-9))
-        self.accepted = materialize(single.unionByName(total).join(sizes, "site").where(enough).select("site", "block", "n", "site_docs", "shards"), "blocks")
+        self.accepted = materialize(merge(single.unionByName(total)).join(merge(sizes), "site").where(enough).select("site", "block", "n", "site_docs", "shards"), "blocks")
 
     def blocks(self) -> DataFrame:
         """(site, lines, docs, site_docs, line_keys): the repeated blocks."""
@@ -237,11 +245,11 @@ class SiteLines:
 
     def lines(self) -> DataFrame:
         """(chunk_id, line_nos): the lines of each chunk that stand in an accepted block."""
-        # a block's lines are each in as many documents, so they are accepted themselves: blocks cover what their lines do
+        # a block's lines are each in as many documents
         keys = self.accepted.groupBy("site", "shards").agg(F.array_distinct(F.flatten(F.collect_list("block"))).alias("accepted"))
         keys = keys.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
         at = F.transform("keys", lambda k, i: F.when(F.array_contains("accepted", k), i))
-        hit = self.rows.join(keys, ["site", "shard"]).select("chunk_id", F.array_compact(at).alias("line_nos"))
+        hit = merge(self.rows).join(merge(keys), ["site", "shard"]).select("chunk_id", F.array_compact(at).alias("line_nos"))
         return hit.where(F.size("line_nos") > 0).distinct()
 
     def found(self) -> DataFrame:
@@ -251,5 +259,5 @@ class SiteLines:
     def clean(self, chunks: DataFrame) -> DataFrame:
         """(chunk_id, text) of all chunks, without the repeated lines."""
         kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("line_nos", i)), "\n")
-        rows = chunks.select("chunk_id", "text").distinct().join(self.lines(), "chunk_id", "left")
+        rows = merge(chunks.select("chunk_id", "text").distinct()).join(merge(self.lines()), "chunk_id", "left")
         return rows.select("chunk_id", F.when(F.col("line_nos").isNull(), F.col("text")).otherwise(kept).alias("text"))

@@ -444,6 +444,33 @@ def test_p9(spark):
     assert len({(r.source, r["pass"], r.idx) for r in slots}) == len(slots)
 
 
+def test_p9_refused_slots_decide(spark, monkeypatch):
+    """Without the mixture's draw no source is found short."""
+    docs = spark.createDataFrame([(i, "word " * 3000, "a" if i < 2 else "b") for i in range(40)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.Mixture(docs, targets)
+    assert rows(m.short()) == {("a",)} and {r.source: r.refused > 0 for r in m.report().collect()} == {"a": True, "b": False}
+    monkeypatch.setattr(m, "drawn", lambda: spark.createDataFrame([], "source string, shard long, drawn long"))
+    assert rows(m.short()) == set()
+
+
+def test_p1_rows_come_from_the_suffix_array(spark, monkeypatch):
+    text = "\n".join(["A notice of the site stands here", "and goes on in a second line", "own {}"])
+    d = spark.createDataFrame([(i, f"https://a.example/{i}") for i in range(12)], "doc_id long, url string")
+    c = spark.createDataFrame([(i, i, 0, text.format(i)) for i in range(12)], "doc_id long, chunk_id long, seq int, text string")
+    s = sitelines.SiteLines(c, d)
+    assert rows(s.found()) == {(i, n) for i in range(12) for n in (0, 1)}
+    assert [(r.lines, r.docs) for r in s.blocks().collect()] == [(2, 12)]
+
+
+def test_p3_only_long_texts_are_moved(spark):
+    c = spark.createDataFrame([(1, 1, 0, "ab " * 20, 0, 0), (1, 2, 1, "a", 0, 0), (1, 1, 0, "cd " * 20, 0, 0)], "doc_id long, chunk_id long, seq int, text string, start_char int, start_byte long")
+    d = spark.createDataFrame([(1, "PDF")], "doc_id long, doc_type string")
+    limits = spark.createDataFrame([("html", 100, 5), ("pdf", 30, 5)], "doc_type string, max_chars int, overlap_chars int")
+    assert {r.text[0] for r in pieces.limited(c, d, limits).collect()} == {"a", "c"}  # two texts of one key are both kept
+    assert pieces.split("One two three. Four five six. Seven eight nine. Ten.", 32, 0)[0][1] in (15, 30)
+
+
 @given(st.integers(1, 500), st.integers(0, 2**60))
 @settings(max_examples=100, deadline=None)
 def test_permutation(n, key):
