@@ -1,4 +1,4 @@
-"""python -m corpusloom index|query|crawl|search|stats|reindex|config|health"""
+"""python -m corpusloom index|query|crawl|search|fetch|delete|stats|reindex|config|health|tools"""
 
 from __future__ import annotations
 
@@ -9,23 +9,27 @@ import shutil
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.functions import text
+from corpusloom.operators import pages
 from corpusloom.plans.engine import PREVIEW, Engine
-from corpusloom.sources import config, files, web
+from corpusloom.sources import config, files, live, web
 
 
-def emit(df: DataFrame, as_json: bool, limit: int = 200) -> None:
-    """At most `limit` rows for the eye: JSON lines, or a table."""
+def emit(df: DataFrame, as_json: bool) -> None:
+    """All rows, a partition at a time: JSON with two blanks of indent, or lines of tab-separated values."""
     if as_json:
-        for row in df.limit(limit).toJSON().collect():
+        for (row,) in df.select(F.to_json(F.struct("*"))).toLocalIterator():
             print(json.dumps(json.loads(row), indent=2, ensure_ascii=False))
     else:
-        df.show(limit, truncate=PREVIEW)
+        print("\t".join(df.columns))
+        for row in df.toLocalIterator():
+            print("\t".join("" if v is None else str(v)[:PREVIEW] for v in row))
 
 
 def health(s: config.Settings) -> dict:
-    return {"data": s.folder, "pdftotext": bool(shutil.which("pdftotext")), "pypdf": bool(importlib.util.find_spec("pypdf")), "embedder": s.embed.kind, "model": s.embed.model}
+    return {"data": s.folder, "pdftotext": bool(shutil.which("pdftotext")), "pypdf": bool(importlib.util.find_spec("pypdf")), "embedder": s.embed.kind, "model": s.embed.model, "models": live.models(s.embed) if s.embed.kind == "ollama" else [], "renderer": bool(live.renderer(s.browser.renderer))}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -42,11 +46,17 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("-k", type=int, default=8)
     c = sub.add_parser("crawl")
     c.add_argument("seed")
-    c.add_argument("--edges", required=True, help="Parquet with src and dst")
+    c.add_argument("--edges", help="Parquet with src and dst")
     c.add_argument("--max", type=int, default=25)
     s = sub.add_parser("search")
-    s.add_argument("--stored", required=True, help="Parquet with query_id, provider and html")
-    for name in ("stats", "reindex", "config", "health"):
+    s.add_argument("text", nargs="*", help="a query for the live providers")
+    s.add_argument("--stored", help="Parquet with query_id, provider and html")
+    f = sub.add_parser("fetch", help="one page as a document")
+    f.add_argument("url")
+    f.add_argument("--index", action="store_true")
+    d = sub.add_parser("delete", help="documents by url")
+    d.add_argument("url", nargs="+")
+    for name in ("stats", "reindex", "config", "health", "tools"):
         sub.add_parser(name)
     a = p.parse_args(argv)
     settings = config.load(a.config)
@@ -60,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
             found = spark.read.parquet(a.pages)
         else:
             wanted = files.url_list(spark, a.from_file) if a.from_file else spark.createDataFrame([(u,) for u in a.url], "url string")
-            found = web.fetch(wanted, settings.http, disallowed=pages_blocked)
+            found = web.fetch(wanted, settings.http, pages.robots_closed, settings.browser.mode, settings.browser.renderer)
         emit(engine.ingest(found), a.json)
     elif a.command == "query":
         answer = engine.query(" ".join(a.text), a.k)
@@ -70,9 +80,15 @@ def main(argv: list[str] | None = None) -> int:
         rows = answer.hits if a.json else answer.hits.withColumn("text", text.preview(answer.hits.text, PREVIEW))
         emit(rows.orderBy("rank"), a.json)
     elif a.command == "crawl":
-        emit(engine.crawl(spark.read.parquet(a.edges), a.seed, a.max), a.json)
+        emit(engine.crawl(spark.read.parquet(a.edges), a.seed, a.max) if a.edges else engine.crawl_pages(a.seed, a.max), a.json)
     elif a.command == "search":
-        emit(engine.search(spark.read.parquet(a.stored)), a.json)
+        emit(engine.search(spark.read.parquet(a.stored)) if a.stored else engine.ask(" ".join(a.text)), a.json)
+    elif a.command == "fetch":
+        emit(engine.fetch_page(a.url, a.index), a.json)
+    elif a.command == "delete":
+        engine.delete(engine.store.read("docs").where(F.col("url").isin(a.url)).select("doc_id"))
+    elif a.command == "tools":
+        print("\n".join(engine.tools()))
     elif a.command == "stats":
         emit(engine.status(), a.json)
     else:
@@ -80,21 +96,5 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-def pages_blocked(body: str | None) -> bool:
-    """robots_blocked for one body, on an executor without a session."""
-    ours = opened = False
-    for line in (body or "").split("\n"):
-        key, colon, value = (x.strip() for x in line.split("#", 1)[0].partition(":"))
-        if not colon:
-            continue
-        agent = key.lower() == "user-agent"
-        if agent:
-            ours = value == "*" or (opened and ours)
-        elif key.lower() == "disallow" and ours and value in ("/", "/*"):
-            return True
-        opened = agent
-    return False
-
-
 if __name__ == "__main__":
     raise SystemExit(main())

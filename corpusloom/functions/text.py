@@ -13,7 +13,7 @@ from corpusloom.functions.risk import LEVELS
 
 ENVELOPE_CAP = 600_000
 _KEPT_CONTROLS = {9, 10, 13}
-# Ranges of invisible and direction-changing characters that are deleted, tag characters among them.
+# Ranges of invisible and direction-changing characters that are deleted; tag characters, which are not among them, go as well.
 _drop = dict.fromkeys(c for a, b in ((0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x2064), (0x2066, 0x206F), (0xFEFF, 0xFEFF), (0xAD, 0xAD), (0xE0000, 0xE007F)) for c in range(a, b + 1))
 _controls = dict.fromkeys(c for c in (*range(32), *range(127, 160)) if c not in _KEPT_CONTROLS)
 
@@ -70,13 +70,36 @@ def neutral_tags(s: Column) -> Column:
     return F.regexp_replace(s, r"(?i)<([\t\n\f\r ]*/?[\t\n\f\r ]*untrusted[a-z0-9_-]*[^>]*>)", "‹$1")
 
 
+def byte_prefix(s: Column, most: int) -> Column:
+    """The longest prefix of at most `most` bytes that parts no character."""
+    raw = s.cast("binary")
+    cut = F.coalesce(*(F.when(F.is_valid_utf8(x), x) for x in (F.substring(raw, 1, max(0, most - d)).cast("string") for d in range(4))))
+    return F.when(F.octet_length(s) <= most, s).otherwise(cut)
+
+
+def excerpt(s: Column, most: int = 300) -> Column:
+    """The first bytes of a trimmed text, for messages."""
+    t = F.trim(s)
+    return F.when(F.octet_length(t) > most, F.concat(byte_prefix(t, most), F.lit("…"))).otherwise(t)
+
+
+def byte_offset(s: Column, chars: Column) -> Column:
+    """Bytes of UTF-8 before the character at that place."""
+    return F.octet_length(F.substring(s, F.lit(1), chars))
+
+
+def escaped_query(s: Column) -> Column:
+    """The text as a URL parameter, blanks as +."""
+    return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def envelope(content: Column, url: Column, salt: Column) -> Column:
-    """Content between salted tags that name its source; longer content is cut at ENVELOPE_CAP characters.
+    """Content between salted tags that name its source; longer content is cut at ENVELOPE_CAP bytes.
 
     In production salt = envelope_salt(); a fixed one makes results repeatable."""
     tag = F.concat(F.lit("untrusted-"), salt)
     body = neutral_tags(content)
-    body = F.when(F.length(body) > ENVELOPE_CAP, F.concat(F.substring(body, 1, ENVELOPE_CAP), F.lit("\n[…truncated]"))).otherwise(body)
+    body = F.when(F.octet_length(body) > ENVELOPE_CAP, F.concat(byte_prefix(body, ENVELOPE_CAP), F.lit("\n[…truncated]"))).otherwise(body)
     quoted = F.concat(F.lit('"'), F.replace(F.replace(url, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     whole = F.concat(F.lit("<"), tag, F.lit(" source="), F.coalesce(quoted, F.lit('""')), F.lit(">\n"), body, F.lit("\n</"), tag, F.lit(">"))
     return F.when(content == "", F.lit("")).otherwise(whole)

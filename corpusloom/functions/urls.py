@@ -45,6 +45,40 @@ def registrable(name: Column, suffixes: tuple[str, ...] = TWO_PART_SUFFIXES) ->
     return F.when(~low.contains("."), F.lit("")).when(two.isin(*suffixes), F.when(low == two, F.lit("")).otherwise(three)).otherwise(two)
 
 
+def public_suffix_rules(lines: list[str]) -> set[str]:
+    """Rules of a public-suffix list in its published format: comments and blank lines are skipped, * and ! keep their meaning."""
+    return {x.split()[0].lower() for x in lines if x.strip() and not x.startswith("//")}
+
+
+def suffix_of(name: str | None, rules: set[str]) -> str:
+    """The longest matching suffix; an exception names the one above it; the last label where no rule matches."""
+    labels = (name or "").lower().strip(".").split(".")
+    for i in range(len(labels)):
+        own, wild = ".".join(labels[i:]), ".".join(["*", *labels[i + 1 :]])
+        if f"!{own}" in rules:
+            return ".".join(labels[i + 1 :])
+        if own in rules or (wild in rules and i + 1 < len(labels)):
+            return own
+    return labels[-1]
+
+
+def domain_of(name: str | None, rules: set[str]) -> str:
+    """The label before the public suffix and the suffix; empty for a suffix itself."""
+    low, suffix = (name or "").lower().strip("."), suffix_of(name, rules)
+    head = low[: -len(suffix) - 1] if suffix and low.endswith("." + suffix) else ""
+    return f"{head.rsplit('.', 1)[-1]}.{suffix}" if head else ""
+
+
+def domains_by(name: Column, rules: set[str]) -> Column:
+    """(suffix, domain) of each host by a public-suffix list, which is read on the driver and bounded by itself."""
+
+    @F.pandas_udf("struct<suffix:string,domain:string>")
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"suffix": [suffix_of(x, rules) for x in s], "domain": [domain_of(x, rules) for x in s]})
+
+    return run(name)
+
+
 def unwrapped(href: Column, parameter: str = "uddg") -> Column:
     """The target that a redirecting link carries in a parameter, else the link."""
     raw = F.regexp_extract(href, rf"[?&]{parameter}=([^&#]*)", 1)

@@ -80,3 +80,19 @@ def scheduled(requests: DataFrame, host: str, order: list[str], per_second: floa
     """requests with the seconds after which each may start: one slot every 1/per_second for each host."""
     n = F.row_number().over(Window.partitionBy(host).orderBy(*order))
     return requests.withColumn("start_after", (n - 1) / F.lit(float(per_second)))
+
+
+def robots_closed(body: str | None) -> bool:
+    """robots_blocked for one body, on an executor without a session."""
+    ours = opened = False
+    for line in (body or "").split("\n"):
+        key, colon, value = (x.strip() for x in line.split("#", 1)[0].partition(":"))
+        if not colon:
+            continue
+        agent = key.lower() == "user-agent"
+        if agent:
+            ours = value == "*" or (opened and ours)
+        elif key.lower() == "disallow" and ours and value in ("/", "/*"):
+            return True
+        opened = agent
+    return False

@@ -96,10 +96,11 @@ def fused(keyword: DataFrame, vector: DataFrame, limit: int = RESULTS, k: int =
 
 
 def enriched(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """hits with text and provenance; a hit without chunk or document is dropped."""
+    """hits with text and provenance; a hit without chunk or document keeps an empty record."""
     at = chunks.select("chunk_id", "doc_id", "text").dropDuplicates(["chunk_id"])
     of = docs.select("doc_id", "url", "title", "doc_type", "fetched_at", "sha256").dropDuplicates(["doc_id"])
-    return hits.join(at, "chunk_id").join(of, "doc_id").select(*HIT, *(c for c in hits.columns if c != "chunk_id"))
+    whole = hits.join(at, "chunk_id", "left").join(of, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "url", "title")})
+    return whole.select(*HIT, *(c for c in hits.columns if c != "chunk_id"))
 
 
 def nearest_model(vectors: DataFrame, model: str) -> DataFrame:
@@ -107,6 +108,6 @@ def nearest_model(vectors: DataFrame, model: str) -> DataFrame:
     return vectors.where(F.col("model") == model)
 
 
-def vector_summary(vectors: DataFrame) -> DataFrame:
-    """One row: number of vectors, smallest dim and model."""
-    return vectors.agg(F.count("*").alias("n"), F.min("dim").alias("dim"), F.min("model").alias("model"))
+def vector_summary(vectors: DataFrame, model: str | None = None) -> DataFrame:
+    """One row: number of vectors, smallest dim and model; a model that the store's values name overrides what the rows say."""
+    return vectors.agg(F.count("*").alias("n"), F.min("dim").alias("dim"), F.coalesce(F.lit(model), F.min("model")).alias("model"))

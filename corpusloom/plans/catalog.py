@@ -221,6 +221,20 @@ def defang_urls(spark, folder):
     return s.select("result_id", text.defang(F.concat_ws(" ", "snippet", F.lit("see"), "url", F.lit("or HTTPS://A.b.Example/x.y?z."))).alias("safe"))
 
 
+def byte_offset(spark, folder):
+    """Where the last hundred characters of each chunk start, in bytes."""
+    at = F.greatest(F.length("text") - 100, F.lit(0))
+    return _chunks(spark, folder).select("chunk_id", text.byte_offset(F.col("text"), at).cast("long").alias("start_byte"))
+
+
+def escaped_query(spark, folder):
+    return table(spark, folder, "serp_results").select(F.concat("query_text", F.lit(" *~&é/")).alias("q")).distinct().select("q", text.escaped_query(F.col("q")).alias("escaped"))
+
+
+def error_excerpt(spark, folder):
+    return _chunks(spark, folder).select("chunk_id", text.excerpt(F.concat(F.lit("é"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("ü")), 301).alias("excerpt"))
+
+
 def warning_line(spark, folder):
     d = _docs(spark, folder).withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
     return d.select("doc_id", text.warning(risk.level(risk.score_of(F.col("signals"))), F.col("signals")).alias("warning_line"))
@@ -334,7 +348,7 @@ def crawl_budget(spark, folder):
 
 
 NAMES = """corpus_stats content_hash exact_dup_groups vector_meta incremental_status upsert_snapshot upsert_changes cascade_delete vector_upsert document_assembled
-chunk_split token_freq bm25_topk keyword_stemmed vector_topk cosine_topk rrf_fusion hybrid_query hit_preview
+chunk_split token_freq bm25_topk keyword_stemmed vector_topk cosine_topk rrf_fusion hybrid_query hit_preview byte_offset escaped_query error_excerpt
 risk_detect risk_summary suspicion_fold envelope_wrap unicode_clean defang_urls warning_line
 url_normalize url_admission registrable_domain url_dedupe outgoing_links robots_verdict challenge_filter doc_type_sniff rate_schedule body_cap
 html_extract html_plain html_fast provider_fallback search_pipeline crawl_levels crawl_budget""".split()

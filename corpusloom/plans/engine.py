@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import risk, text, tokens, urls
 from corpusloom.operators import chunking, corpus, graph, html, pages, retrieval, serp
 from corpusloom.plans.shared import materialize
+from corpusloom.sources import files, live, web
 from corpusloom.sources.config import Settings
 
 PREVIEW = 600
@@ -33,26 +34,31 @@ class Engine:
 
         Oversized, challenged and binary pages have status rejected and a reason; the rest extracted."""
         given = lambda c, kind: F.col(c).cast(kind) if c in fetched.columns else F.lit(None).cast(kind)
-        kind = pages.document_type(given("content_type", "string"), F.col("body"))
+        raw = given("content", "binary")
+        is_pdf = F.substring(raw, 1, 5) == F.encode(F.lit("%PDF-"), "utf-8")
+        fetched = fetched.withColumn("_pdf", F.when(is_pdf, files.pdf(F.when(is_pdf, raw)))).withColumn("_raw", raw)
+        fetched = fetched.withColumn("body", F.when(F.col("_pdf").isNotNull(), F.col("_pdf.text")).otherwise(F.col("body")))
+        kind = F.when(F.col("_pdf").isNotNull(), "pdf").otherwise(pages.document_type(given("content_type", "string"), F.col("body")))
         why = (
             F.when(F.col("body").isNull(), "no body")
             .when(~urls.admissible(F.col("url")), "url not admissible")
             .when(~pages.within_cap(F.col("body"), self.settings.http.max_bytes), "body above the cap")
             .when(pages.challenge_body(F.col("body")), "bot challenge")
             .when(kind == "binary", "unsupported type")
-            .when(kind == "pdf", "decode PDF bytes first")
+            .when((kind == "pdf") & F.col("_pdf").isNull(), "PDF without its bytes")
+            .when((kind == "pdf") & (F.trim("body") == ""), F.concat(F.lit("no text in PDF: "), F.col("_pdf.warning")))
         )
-        rows = fetched.select("url", F.coalesce(given("final_url", "string"), F.col("url")).alias("final_url"), "body", kind.alias("doc_type"), given("etag", "string").alias("etag"), F.coalesce(given("fetched_at", "timestamp"), F.current_timestamp()).alias("fetched_at"), why.alias("reason"))
+        rows = fetched.select("url", F.coalesce(given("final_url", "string"), F.col("url")).alias("final_url"), "body", kind.alias("doc_type"), given("etag", "string").alias("etag"), F.coalesce(given("fetched_at", "timestamp"), F.current_timestamp()).alias("fetched_at"), why.alias("reason"), F.nullif(F.col("_pdf.warning"), F.lit("")).alias("warned"), F.sha2(F.coalesce(F.col("_raw"), F.col("body").cast("binary")), 256).alias("sha256"))
         page = F.when(F.col("reason").isNull() & (F.col("doc_type") == "html"), F.col("body"))
         e = rows.withColumn("_e", html.extract(page))
         ok, is_html = F.col("reason").isNull(), F.col("doc_type") == "html"
         out = e.withColumn("text", text.clean_unicode(F.when(ok, F.when(is_html, F.col("_e.markdown")).otherwise(F.col("body")))))
         out = risk.assessed(out)
         return out.select(
-            "url", "final_url", "doc_type", F.sha2("body", 256).alias("sha256"), "etag",
+            "url", "final_url", "doc_type", "sha256", "etag",
             F.when(is_html, text.one_line(F.col("_e.title"))).otherwise(F.lit("")).alias("title"),
             F.when(~ok, F.lit(None)).when(is_html, F.col("_e.extraction")).otherwise("passthrough").alias("extraction"),
-            F.lit(None).cast("string").alias("extract_warning"), "signals", F.col("_e.links").alias("links"), "fetched_at", F.col("fetched_at").alias("updated_at"),
+            F.col("warned").alias("extract_warning"), "signals", F.col("_e.links").alias("links"), "fetched_at", F.col("fetched_at").alias("updated_at"),
             "text", "suspicion", F.when(ok, "extracted").otherwise("rejected").alias("status"), "reason",
         )
 
@@ -122,6 +128,53 @@ class Engine:
         cfg = self.settings.search
         return serp.search(serp.parsed_results(stored), list(cfg.providers), ["query_id"], ["rank"], limit or cfg.max_results)
 
+    def fetch(self, addresses: DataFrame) -> DataFrame:
+        """Pages of the addresses (url) as the settings ask for them: robots, rate, caps, and the renderer where HTTP meets a challenge."""
+        s = self.settings
+        got = web.fetch(addresses, s.http, pages.robots_closed, s.browser.mode, s.browser.renderer)
+        return materialize(got, "pages")
+
+    def fetch_page(self, url: str, index: bool = False) -> DataFrame:
+        """One page as a document, indexed too where that is asked for or set; a failure to index is a value of the row, not an error."""
+        got = self.fetch(self.spark.createDataFrame([(url,)], "url string"))
+        page = self.extract(got)
+        note = None
+        if index or self.settings.index.auto:
+            try:
+                self.ingest(got)
+            except Exception as e:
+                note = str(e)
+        return page.withColumn("index_error", F.lit(note).cast("string"))
+
+    def ask(self, query: str, limit: int | None = None) -> DataFrame:
+        """Live results of the first provider that has any, cleaned and with their risk."""
+        cfg = self.settings.search
+        q = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
+        got = materialize(live.search(q, cfg, self.settings.http, self.settings.browser.renderer), "results").where("error IS NULL").drop("error")
+        return serp.search(got, live.chain(cfg), ["query_id"], ["rank"], limit or cfg.max_results)
+
+    def crawl_pages(self, seed: str, budget: int = graph.BUDGET, source=None) -> DataFrame:
+        """One row (fetched, unchanged, failed): pages fetched and indexed level by level from the seed, inside its domain.
+
+        source gives pages for addresses (self.fetch by default). Pages that fail are free; at most TOOL_PAGES are asked for."""
+        source, budget = source or self.fetch, min(budget if budget > 0 else graph.BUDGET, graph.TOOL_PAGES)
+        home = urls.registrable(urls.host(F.lit(seed)))
+        front = self.spark.createDataFrame([(seed,)], "url string")
+        seen, n = front, {"fetched": 0, "unchanged": 0, "failed": 0}
+        while (left := budget - n["fetched"] - n["unchanged"]) > 0 and not front.isEmpty():
+            got = source(front.orderBy("url").limit(left))
+            report = materialize(self.ingest(got), "report")
+            for r in report.groupBy("status").count().collect():
+                n["unchanged" if r.status == "unchanged" else "failed" if r.status == "rejected" else "fetched"] += r["count"]
+            links = self.extract(got).where("status = 'extracted'").select(F.explode(urls.outgoing(F.col("links"))).alias("url")).select(urls.without_fragment(F.col("url")).alias("url")).distinct()
+            front = materialize(links.where(urls.registrable(urls.host(F.col("url"))) == home).join(seen, "url", "left_anti"), "front")
+            seen = materialize(seen.unionByName(front), "seen")
+        return self.spark.createDataFrame([tuple(n.values())], "fetched long, unchanged long, failed long")
+
+    def tools(self) -> dict:
+        """The engine's operations by name, for a server of tools."""
+        return {"search": self.ask, "fetch": self.fetch_page, "index": lambda url: self.fetch_page(url, index=True), "crawl": self.crawl_pages, "query": self.query, "status": self.status}
+
     def crawl(self, edges: DataFrame, seed: str, budget: int = graph.BUDGET) -> DataFrame:
         return graph.crawl(edges, seed, budget)
 

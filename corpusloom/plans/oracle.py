@@ -113,6 +113,15 @@ def statements() -> dict[str, str]:
         "cosine_topk": "WITH qv AS (SELECT embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], x) AS cosine FROM embeddings, qv) SELECT vec_id, round(cosine, 6) AS cosine FROM (SELECT * FROM s WHERE cosine > 0 ORDER BY cosine DESC, vec_id LIMIT 50)",
         "rrf_fusion": f"WITH {bm25}, {VECTOR}, {fused} SELECT chunk_id, round(score, 9) AS score, matched_by, rank FROM fused",
         "hybrid_query": f"WITH {bm25}, {VECTOR}, {fused}, {DOCS} SELECT f.chunk_id, c.doc_id, c.text, d.url, d.title, d.doc_type, d.fetched_at, d.sha256, round(f.score, 9) AS score, f.matched_by, f.rank FROM (SELECT * FROM fused WHERE rank <= 8) f JOIN c USING (chunk_id) JOIN d USING (doc_id)",
+        "byte_offset": f"WITH {CHUNKS} SELECT chunk_id, strlen(substr(text, 1, greatest(length(text) - 100, 0)))::BIGINT AS start_byte FROM c",
+        "escaped_query": """SELECT DISTINCT query_text || ' *~&é/' AS q, replace(url_encode(query_text || ' *~&é/'), '%20', '+') AS escaped FROM serp_results WHERE query_text IS NOT NULL""",
+        # the longest prefix of at most 301 bytes, found among the 76 to 301 characters that it may have
+        "error_excerpt": f"""WITH {CHUNKS}, t AS (SELECT chunk_id, trim('é' || replace(text, chr(10), ' ') || 'ü') AS t FROM c)
+ SELECT chunk_id, CASE WHEN strlen(t) <= 301 THEN t ELSE (SELECT max_by(p, strlen(p)) FROM (SELECT unnest(list_transform(range(75, 302), lambda k: substr(t, 1, k))) AS p) WHERE strlen(p) <= 301) || '…' END AS excerpt FROM t""",
+        "defang_urls": r"""WITH s AS (SELECT DISTINCT * FROM serp_results), t AS (SELECT result_id, concat_ws(' ', snippet, 'see', url, 'or HTTPS://A.b.Example/x.y?z.') AS t FROM s),
+ p AS (SELECT result_id, string_split_regex(t, '(?i)https?://[^\s<>"'')\]]+') AS a, regexp_extract_all(t, '(?i)https?://[^\s<>"'')\]]+') AS u FROM t),
+ q AS (SELECT result_id, a, list_transform(u, lambda x: CASE WHEN lower(x) LIKE 'https%' THEN 'hxxps://' ELSE 'hxxp://' END || replace(regexp_extract(x, '^[^:]+://([^/?#]*)', 1), '.', '[.]') || regexp_extract(x, '^[^:]+://[^/?#]*(.*)$', 1)) AS u FROM p)
+ SELECT result_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: coalesce(a[i], '') || coalesce(u[i], '')), '') AS safe FROM q""".replace("\\\\", "\\"),
         "hit_preview": f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN length(text) > 600 THEN substr(text, 1, 600) || '…' ELSE text END AS preview FROM c",
         "risk_detect": _risk("SELECT chunk_id, signals, score, suspicion FROM z"),
         "risk_summary": _risk("SELECT suspicion, count(*) AS n, sum(score)::BIGINT AS score FROM z GROUP BY suspicion"),

@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local one is made only where none is named (tests)."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         folder = "file://" + (local := tempfile.mkdtemp(prefix="corpusloom-"))
         atexit.register(shutil.rmtree, local, True)
         spark.conf.set(_KEY, folder)

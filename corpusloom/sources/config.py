@@ -17,6 +17,7 @@ class Http:
     respect_robots: bool = True
     allow_private: bool = False
     user_agent: str = "corpusloom/0.1"
+    trusted: tuple[str, ...] = ("duckduckgo.com", "mojeek.com", "bing.com")  # result pages, fetched whatever robots.txt says
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,7 @@ class Embed:
 class Search:
     providers: tuple[str, ...] = ("ddg-html", "ddg-lite", "mojeek", "bing-browser")
     max_results: int = 10
+    searx_urls: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,17 @@ class Index:
             raise ValueError("overlap must be below the chunk size")
 
 
+@dataclass(frozen=True)
+class Browser:
+    mode: str = ""  # empty: where HTTP meets a challenge; force: always
+    renderer: str = ""  # module:function from url to html
+
+    def __post_init__(self):
+        object.__setattr__(self, "mode", browser_mode(self.mode))
+        if self.mode not in ("", "none", "auto", "force", "solve"):
+            raise ValueError(f"unknown browser mode {self.mode!r}")
+
+
 @dataclass(frozen=True)
 class Settings:
     data: str = ""
@@ -59,6 +72,7 @@ class Settings:
     embed: Embed = field(default_factory=Embed)
     search: Search = field(default_factory=Search)
     index: Index = field(default_factory=Index)
+    browser: Browser = field(default_factory=Browser)
 
     @property
     def folder(self) -> str:
@@ -66,6 +80,13 @@ class Settings:
         return self.data or f"{base}/corpusloom"
 
 
+def browser_mode(value: str) -> str:
+    """A mode, or a truth value for one: true forces the renderer, false overrides nothing."""
+    if value in ("", "false", "False", "FALSE", "f", "F", "0"):
+        return ""
+    return "force" if value in ("true", "True", "TRUE", "t", "T", "1") else value
+
+
 def truthy(s: str) -> bool:
     return s.strip().lower() in ("1", "true", "yes", "on")
 
@@ -85,7 +106,7 @@ def load(path: str | None = None, env: dict[str, str] | None = None) -> Settings
     env = os.environ if env is None else env
     raw = tomllib.loads(Path(path).read_text()) if path and Path(path).exists() else {}
     out = Settings(data=env.get("CORPUSLOOM_DATA", raw.pop("data", "")))
-    for part in ("http", "embed", "search", "index"):
+    for part in ("http", "embed", "search", "index", "browser"):
         own, given = getattr(out, part), dict(raw.pop(part, {}))
         names = {f.name for f in fields(own)}
         if unknown := set(given) - names:

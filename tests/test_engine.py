@@ -106,7 +106,7 @@ def test_live_source(spark):
     import http.server
     import threading
 
-    from corpusloom.__main__ import pages_blocked
+    from corpusloom.operators.pages import robots_closed
     from corpusloom.sources import web
 
     class Handler(http.server.BaseHTTPRequestHandler):
@@ -133,7 +133,7 @@ def test_live_source(spark):
     try:
         local = config.Http(allow_private=True, max_bytes=1000, per_second=0)
         asked = spark.createDataFrame([(f"{base}/{p}",) for p in ("a", "big", "wall", "shut", "none")], "url string")
-        got = {r.url.rsplit("/", 1)[1]: r for r in web.fetch(asked, local, pages_blocked).collect()}
+        got = {r.url.rsplit("/", 1)[1]: r for r in web.fetch(asked, local, robots_closed).collect()}
         assert got["a"].body == "hello" and got["a"].error is None
         assert {k: r.error for k, r in got.items() if k != "a"} == {"big": "body exceeds 1000 bytes", "wall": "bot challenge", "shut": "bot challenge", "none": "http 404"}
         assert web.fetched(f"{base}/a", config.Http())["error"] == "private address"
@@ -142,3 +142,17 @@ def test_live_source(spark):
         assert web.embedded(["a", "b", "c"], e) == [[1.0, 0.0], [1.0, 1.0], [1.0, 0.0]]
     finally:
         server.shutdown()
+
+
+def test_crawl_pages_counts(spark, tmp_path):
+    from corpusloom.plans.engine import Engine
+    from corpusloom.sources.config import Settings
+
+    body = lambda *links: "<html><body><main><h1>T</h1><p>" + "A sentence of the page that is long enough to be kept. " * 5 + "".join(f'<a href="{x}">l</a>' for x in links) + "</p></main></body></html>"
+    web = {"https://a.example/": body("https://a.example/b", "https://a.example/c", "https://other.test/x"), "https://a.example/b": body("https://a.example/"), "https://a.example/c": None}
+    known = spark.createDataFrame(list(web.items()), "url string, body string")
+    engine = Engine(spark, Settings(data=str(tmp_path)))
+    source = lambda front: known.join(front, "url")
+    assert tuple(engine.crawl_pages("https://a.example/", source=source).first()) == (2, 0, 1)
+    assert tuple(engine.crawl_pages("https://a.example/", source=source).first()) == (0, 2, 1)
+    assert set(engine.tools()) == {"search", "fetch", "index", "crawl", "query", "status"}

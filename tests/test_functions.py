@@ -115,3 +115,40 @@ def test_stems_match_fts5():
     want = dict(con.execute("select doc, term from v"))
     assert {i: tokens.stems(w)[0] for i, w in enumerate(words, 1)} == want
     assert tokens.stems("foo_bar Straße, 42!") == ["foo", "bar", tokens.stem("straße"), "42"]
+
+
+@pytest.mark.parametrize("name,suffix,domain", [("a.b.example.co.uk", "co.uk", "example.co.uk"), ("x.ck", "x.ck", ""), ("www.ck", "ck", "www.ck"), ("a.b.kobe.jp", "b.kobe.jp", "a.b.kobe.jp"), ("host.example", "example", "host.example"), ("com", "com", ""), (None, "", "")])
+def test_public_suffixes(name, suffix, domain):
+    from corpusloom.functions import urls
+
+    rules = urls.public_suffix_rules(["// comment", "", "com", "co.uk", "*.ck", "!www.ck", "*.kobe.jp"])
+    assert urls.suffix_of(name, rules) == suffix and urls.domain_of(name, rules) == domain
+
+
+def test_browser_modes_and_providers():
+    from corpusloom.sources import config, live, web
+
+    assert [config.browser_mode(x) for x in ("", "False", "T", "solve")] == ["", "", "force", "solve"]
+    with pytest.raises(ValueError):
+        config.Browser(mode="sideways")
+    s = config.Search(providers=("searxng", "mojeek", "none"), searx_urls=("https://one.example/", "https://two.example"))
+    assert live.chain(s) == ["searxng:one.example", "searxng:two.example", "mojeek", "none"]
+    assert live.escaped("a b&c") == "a+b%26c" and live.renderer("no.module:draw") is None
+    draw = lambda url: "<html>just a moment</html>" if "wall" in url else "<html>whole</html>"
+    assert live.page("https://a.example/wall", config.Http(), "force", draw)["error"] == "bot challenge"
+    assert live.page("https://a.example/", config.Http(), "force", draw)["body"] == "<html>whole</html>"
+    assert live.page("https://a.example/", config.Http(), "force")["error"] == "no renderer"
+    assert web.closed_by_robots("https://html.duckduckgo.com/x", config.Http(), lambda body: True) is False
+    import gzip
+
+    assert len(web.inflated(gzip.compress(b"0" * 10_000_000), 1000)) == 1001
+
+
+def test_byte_prefix(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text
+
+    df = spark.createDataFrame([("aé€😀",), ("",), (None,)], "s string")
+    for n, want in ((0, ""), (1, "a"), (2, "a"), (3, "aé"), (5, "aé"), (6, "aé€"), (9, "aé€"), (10, "aé€😀")):
+        assert [r[0] for r in df.select(text.byte_prefix(F.col("s"), n)).collect()] == [want, "", None]

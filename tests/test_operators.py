@@ -63,10 +63,10 @@ def test_html_prefers_the_article():
     [("User-agent: *\nDisallow: /", True), ("User-agent: bot\nDisallow: /", False), ("User-agent: *\nDisallow: /a", False), ("user-agent: a\nUSER-AGENT: *\nDisallow: /* # x", True), ("User-agent: *\nAllow: /\n\nUser-agent: b\nDisallow: /", False), (None, False), ("", False)],
 )
 def test_robots(spark, body, shut):
-    from corpusloom.__main__ import pages_blocked
+    from corpusloom.operators.pages import robots_closed
 
     assert spark.createDataFrame([(body,)], "b string").select(pages.robots_blocked(F.col("b"))).first()[0] is shut
-    assert pages_blocked(body) is shut
+    assert robots_closed(body) is shut
 
 
 @pytest.mark.parametrize("kind,body,want", [("", "%PDF-1", "pdf"), ("text/html", "x", "html"), ("", "<!DOCTYPE HTML>", "html"), ("text/markdown", "x", "markdown"), ("application/json", "{}", "text"), (None, "words", "text"), ("application/octet-stream", "a\0b", "binary")])
