@@ -28,7 +28,7 @@ def test_chunks_cover(text, size, overlap):
     spans = chunking.spans(text, size, overlap)
     assert not text or (spans[0][0] == 0 and spans[-1][1] == len(text))
     for (a, b), (c, d) in zip(spans, spans[1:]):
-        assert a < c <= b < d
+        assert a < c <= b <= d
     assert all(b - a <= size for a, b in spans)
 
 
