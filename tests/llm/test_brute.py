@@ -359,6 +359,16 @@ def test_p6_skeleton(a, b, same):
     assert (lookalike.skeleton(a) == lookalike.skeleton(b)) == same
 
 
+def test_p6_public_look_alikes(spark, tmp_path):
+    """Letters of the public data unify in the query itself; case, accents and ASCII classes stay apart."""
+    (tmp_path / "c.txt").write_text("\ufeff# public\n0251 ;\t0061 ;\tMA\t# x\n0406 ;\t006C ;\tMA\n00F8 ;\t006F 0338 ;\tMA\n")
+    assert lookalike.look_alikes(spark, f"file://{tmp_path}/c.txt") == {0x251: "a", 0x406: "I"}
+    pairs = [("ɑ", "a"), ("ɡ", "g"), ("ı", "i"), ("ⅰ", "i"), ("ⅼ", "l"), ("ⲟ", "o"), ("ꓐ", "B"), ("ᴏ", "o"), ("‐", "-"), ("ꮯ", "ᴄ"), ("І", "I"), ("ο", "о")]
+    apart = [("I", "l"), ("rn", "m"), ("ø", "o"), ("œ", "oe"), ("O", "0"), ("Α", "a"), ("ç", "c")]
+    v = spark.createDataFrame([("text", 2 * i + j, f"w{i} {x}") for i, p in enumerate(pairs + apart) for j, x in enumerate(p)], "field string, id long, value string")
+    assert rows(lookalike.pairs(v)) == {("text", 2 * i, 2 * i + 1) for i in range(len(pairs))}
+
+
 @needs_data
 def test_p6(spark):
     by = defaultdict(set)
