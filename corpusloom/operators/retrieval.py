@@ -97,9 +97,11 @@ def fused(keyword: DataFrame, vector: DataFrame, limit: int = RESULTS, k: int =
 
 def enriched(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """hits with text and provenance; a hit without chunk or document keeps an empty record."""
-    at = chunks.select("chunk_id", "doc_id", "text").dropDuplicates(["chunk_id"])
-    of = docs.select("doc_id", "url", "title", "doc_type", "fetched_at", "sha256").dropDuplicates(["doc_id"])
-    whole = hits.join(at, "chunk_id", "left").join(of, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "url", "title")})
+    at = chunks.select("chunk_id", "doc_id", "text", F.lit(True).alias("_at")).dropDuplicates(["chunk_id"])
+    of = docs.select("doc_id", "url", "title", "doc_type", "fetched_at", "sha256", F.lit(True).alias("_of")).dropDuplicates(["doc_id"])
+    whole = hits.join(at, "chunk_id", "left").join(of, "doc_id", "left")
+    empty = lambda c, found: F.when(F.col(found).isNull(), F.lit("")).otherwise(F.col(c))
+    whole = whole.withColumns({"text": empty("text", "_at"), "url": empty("url", "_of"), "title": empty("title", "_of")})
     return whole.select(*HIT, *(c for c in hits.columns if c != "chunk_id"))
 
 
