@@ -354,6 +354,12 @@ def test_p5_no_broadcast_of_rows(spark):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_p6_without_data():
+    """Without the look-alike data there is an error, not forms by the short list alone."""
+    with pytest.raises(RuntimeError):
+        lookalike.look_alikes(type("Session", (), {"_jvm": None}))
+
+
 @pytest.mark.parametrize("a,b,same", [("ﬁne", "fine", True), ("ＡＢ　ｃ", "AB c", True), ("é", "é", True), ("a​b", "ab", True), ("раypal", "paypal", True), ("e", "é", False), ("A", "a", False), ("a b", "a  b", False), ("a\nb", "a b", False), ("👩‍💻", "👩💻", False), ("x²", "x2", False), ("a\r\nb", "a\nb", True)])
 def test_p6_skeleton(a, b, same):
     assert (lookalike.skeleton(a) == lookalike.skeleton(b)) == same
