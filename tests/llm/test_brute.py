@@ -114,6 +114,15 @@ def test_p2_hot_cluster(spark):
     assert set(got) == set(range(10, 150)) and all(k < 10 for k in got.values())
 
 
+def test_p2_lookup_is_packed(spark):
+    """A chunk is no row of its own: the lookup table has a row a slot and batch, however many chunks there are."""
+    h = history.History(spark)
+    schema = "doc_id long, sha256 string, url string, text string"
+    for n in range(2):
+        h.add(spark.createDataFrame([(n * 100 + i, None, None, " ".join(f"w{n}x{i}x{j}" for j in range(150))) for i in range(40)], schema))
+    assert 0 < h.lookup.read(h.batches).count() <= 2 * h.buckets * 16
+
+
 def test_p2_edited_texts(spark):
     """Words replaced evenly and at random, down to the bound of overlap, in short and long texts."""
     rng = np.random.default_rng(8)
