@@ -123,6 +123,32 @@ def test_p2_lookup_is_packed(spark):
     assert 0 < h.lookup.read(h.batches).count() <= 2 * h.buckets * 16
 
 
+@given(st.sets(st.integers(0, 2000), min_size=1, max_size=300), st.sets(st.integers(0, 2000), min_size=1, max_size=40), st.integers(0, 300))
+@settings(max_examples=200, deadline=None)
+def test_p2_sketches_bound(a, b, shared):
+    """Sketches of any sizes never state less than what is in common."""
+    b = b | set(sorted(a)[:shared])
+    x, y = (kernel.mix(np.array(sorted(v), kernel.U)) for v in (a, b))
+    assert len(a & b) <= history.most_common(history.sketch(x), len(a), history.sketch(y), len(b)) <= min(len(a), len(b))
+
+
+def test_p2_unlike_texts_stay(spark, monkeypatch):
+    """Of a text that shares half of its words with many others, in pieces, no other text is read."""
+    rng = np.random.default_rng(3)
+    pieces = [[f"p{i}x{j}" for j in range(12)] for i in range(40)]
+    text = lambda i: " ".join(sum((pieces[k] + [f"own{i}x{k}x{j}" for j in range(12)] for k in rng.permutation(40)[:8]), []))
+    schema = "doc_id long, sha256 string, url string, text string"
+    h = history.History(spark)
+    old = [(i, None, None, text(i)) for i in range(60)]
+    h.add(spark.createDataFrame(old, schema))
+    compared, made = [], history.materialize
+    monkeypatch.setattr(history, "materialize", lambda df, name: (compared.append(name), made(df, name))[1])
+    assert h.add(spark.createDataFrame([(100 + i, None, None, text(100 + i)) for i in range(20)], schema)).count() == 0
+    assert "verified" not in compared
+    assert {r.kept for r in h.add(spark.createDataFrame([(200, None, None, old[7][3] + " more")], schema)).collect()} == {7}
+    assert "verified" in compared
+
+
 def test_p2_edited_texts(spark):
     """Words replaced evenly and at random, down to the bound of overlap, in short and long texts."""
     rng = np.random.default_rng(8)
